@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pgq.llm import mixing, simhash, suffix_dedup
+from pgq.llm import common, mixing, packing, simhash, suffix_dedup, toxicity
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("near_dedup", simhash.stage),
     ("suffix_dedup", suffix_dedup.stage),
     ("mix", mixing.stage),
+    ("pack", packing.stage),
 ]
-#: Models and tokenizers are beyond SQL; tests compare the stages with brute force instead.
+#: A trained classifier and a tokenizer are beyond SQL; tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; what each one returns is written and read again."""
-    from pgq.llm import common
-
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir))
