@@ -31,6 +31,7 @@ from . import common as C
 WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM + 1
 SHALLOW = 16
+SHARES = 64  # of a bucket, by anchor: what is sorted at once
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**64, 256, dtype="u8")
 _STEP = _rng.integers(0, 2**63, 5, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -137,9 +138,10 @@ def contexts(b: C.Block, replies: list | None, n: int):
     doc, first, end, bucket = doc[hit], first[hit], end[hit], bucket[hit]
     raw, seen, index = b.buf.tobytes(), {}, np.zeros(len(doc), "i8")
     own = b.ids[doc].tolist()
-    for i, (lo, hi, k, d) in enumerate(zip(first.tolist(), end.tolist(), bucket.tolist(), own, strict=True)):
+    share = (rest[hit] % SHARES).tolist()
+    for i, (lo, hi, k, d, g) in enumerate(zip(first.tolist(), end.tolist(), bucket.tolist(), own, share, strict=True)):
         mine = seen.setdefault(k, {})
-        x = mine.setdefault(raw[lo : hi + WINDOW - 1], [len(mine), d])
+        x = mine.setdefault(raw[lo : hi + WINDOW - 1], [len(mine), d, g])
         index[i] = x[0]
         if d < x[1]:
             x[1] = d
@@ -150,7 +152,7 @@ def send_contexts(n: int):
     def one(row):
         b = C.Block(row)
         _, seen = contexts(b, row["replies"], n)
-        out = [(k, C.pack(np.array([len(x)], "i8").tobytes() + np.array([d for _, d in x.values()], "i8").tobytes() + np.array([len(t) for t in x], "u1").tobytes() + b"".join(x))) for k, x in sorted(seen.items())]
+        out = [(k, C.pack(np.array([len(x)], "i8").tobytes() + np.array([d for _, d, _ in x.values()], "i8").tobytes() + np.array([len(t) for t in x], "u1").tobytes() + np.array([g for _, _, g in x.values()], "u1").tobytes() + b"".join(x))) for k, x in sorted(seen.items())]
         if out:
             yield C.messages(b.id, [k for k, _ in out], [p for _, p in out])
 
@@ -204,22 +206,9 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int = WINDOW, shall
     return sa, group
 
 
-def resolve(bucket: int, rows: list[dict]):
-    """For each message the contexts of which some window is held by a smaller document than any of its block."""
-    seen: dict[bytes, list] = {}
-    parts = []
-    for r in rows:
-        raw = C.unpack(r["payload"])
-        n = int(np.frombuffer(raw[:8], "i8")[0])
-        ids, size = np.frombuffer(raw[8 : 8 + 8 * n], "i8").tolist(), np.frombuffer(raw[8 + 8 * n : 8 + 9 * n], "u1").tolist()
-        at, own = 8 + 9 * n, []
-        for d, s in zip(ids, size, strict=True):
-            x = seen.setdefault(raw[at : at + s], [len(seen), d])
-            own.append(x[0])
-            if d < x[1]:
-                x[1] = d
-            at += s
-        parts.append((r["block"], ids, own))
+def first_holders(seen: dict[bytes, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For contexts (bytes -> [index, smallest id]): the smallest id that holds each of their windows, where the windows
+    of each context start and end, and the smallest of those ids."""
     size = np.array([len(x) for x in seen], "i8")
     buf = np.frombuffer(b"".join(seen) + bytes(8), "u1")
     offs = np.concatenate([[0], np.cumsum(size)])
@@ -232,13 +221,42 @@ def resolve(bucket: int, rows: list[dict]):
     head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     first = np.empty(len(starts), "i8")
     first[sa] = np.repeat(np.minimum.reduceat(least[owner[sa]], head), np.diff(np.append(head, len(group))))
-    lowest = np.minimum.reduceat(first, w_offs[:-1])
-    for block, ids, own in parts:
-        own = np.array(own)
-        pick = np.flatnonzero(lowest[own] < np.array(ids))
-        if len(pick):
-            body = np.concatenate([first[w_offs[g] : w_offs[g + 1]] for g in own[pick]])
-            yield C.messages(block, [bucket], [C.pack(np.array([len(pick)], "i8").tobytes() + pick.astype("i8").tobytes() + body.tobytes())])
+    return first, w_offs, np.minimum.reduceat(first, w_offs[:-1])
+
+
+def resolve(bucket: int, rows: list[dict]):
+    """For each message the contexts of which some window is held by a smaller document than any of its block.
+
+    Contexts that share a window share its anchor, and so are in one share of the bucket; shares are sorted in turn.
+    """
+    seen: list[dict[bytes, list]] = [{} for _ in range(SHARES)]
+    parts = []
+    for r in rows:
+        raw = C.unpack(r["payload"])
+        n = int(np.frombuffer(raw[:8], "i8")[0])
+        ids, size, share = np.frombuffer(raw[8 : 8 + 8 * n], "i8"), np.frombuffer(raw[8 + 8 * n : 8 + 9 * n], "u1"), np.frombuffer(raw[8 + 9 * n : 8 + 10 * n], "u1")
+        at, own = 8 + 10 * n, []
+        for d, s, g in zip(ids.tolist(), size.tolist(), share.tolist(), strict=True):
+            x = seen[g].setdefault(raw[at : at + s], [len(seen[g]), d])
+            own.append(x[0])
+            if d < x[1]:
+                x[1] = d
+            at += s
+        parts.append((r["block"], ids, share, np.array(own, "i4")))
+        r["payload"] = None
+    found: list[list] = [[] for _ in parts]
+    for g in range(SHARES):
+        if not seen[g]:
+            continue
+        first, w_offs, lowest = first_holders(seen[g])
+        seen[g] = {}
+        for i, (_, ids, share, own) in enumerate(parts):
+            mine = np.flatnonzero(share == g)
+            mine = mine[lowest[own[mine]] < ids[mine]]
+            found[i].extend((int(j), first[w_offs[o] : w_offs[o + 1]]) for j, o in zip(mine, own[mine], strict=True))
+    for (block, *_), got in zip(parts, found, strict=True):
+        if got:
+            yield C.messages(block, [bucket], [C.pack(np.array([len(got)], "i8").tobytes() + np.array([j for j, _ in got], "i8").tobytes() + np.concatenate([x for _, x in got]).tobytes())])
 
 
 def covered(row: dict, n: int) -> tuple[C.Block, np.ndarray]:
@@ -257,7 +275,7 @@ def covered(row: dict, n: int) -> tuple[C.Block, np.ndarray]:
                 m = len(own[i]) - WINDOW + 1
                 told[r["bucket"], i] = body[at : at + m]
                 at += m
-        least = {k: np.array([d for _, d in x.values()], "i8") for k, x in seen.items()}
+        least = {k: np.array([d for _, d, _ in x.values()], "i8") for k, x in seen.items()}
         start = np.zeros(size, bool)
         for d, lo, hi, k, i in zip(b.ids[doc].tolist(), first.tolist(), end.tolist(), bucket.tolist(), index.tolist(), strict=True):
             got = told.get((k, i))
