@@ -77,7 +77,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         first = np.concatenate([[0], cut])
         end = np.append(cut, n)
         first, end = first[ok[first]], end[ok[first]]
-        out.append((first + lo, end + lo, h[pos[first]] >> np.uint64(24)))
+        key = h[pos[first]] * _STEP[3]  # the smallest of many hashes is small: mixed again, keys spread evenly
+        out.append((first + lo, end + lo, (key ^ (key >> np.uint64(31))) * _STEP[4] >> np.uint64(24)))
     if not out:
         return (np.zeros(0, "i8"),) * 3 + (np.zeros(0, "u8"),)
     first, end, key = (np.concatenate(x) for x in zip(*out, strict=True))
