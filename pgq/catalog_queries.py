@@ -1,4 +1,189 @@
 """Queries of the engine's own operators, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pgq.functions import text
+from pgq.operators import corpus as K
+from pgq.operators.planner import plan
+from pgq.plans.catalog import DRIVER
+from pgq.plans.intent import REGIMES
+from pgq.session import prepare
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def _intent(name: str, sql: str, target: str, path=(), filters=(), agg=None, order=None, limit=None, ret=(), regime=None):
+    kind = "aggregation" if agg and agg[0] != "count" else "count" if agg else "ranking" if order else "lookup"
+    raw = {
+        "regime": regime or f"{'relational' if path else 'simple'}_{kind}_query",
+        "schema": {
+            "target": {"label": target}, "path": [list(p) for p in path], "filters": [{"node_label": f[0], "attribute": f[1], "operator": f[2], "value": f[3]} for f in filters],
+            "aggregate": {"function": agg[0], "attribute": agg[1]} if agg else None, "order_by": {"node_label": order[0], "attribute": order[1], "direction": order[2]} if order else None,
+            "limit": limit, "return_attributes": list(ret),
+        },
+    }
+    QUERIES[name] = lambda spark, sf_dir: plan(spark, sf_dir, raw)
+    ORACLE[name] = sql
+
+
+def _dec(fn: str, col: str) -> str:
+    s = f"cast(sum(cast({col} as decimal(18,4))) as double)"
+    return f"{s} as sum_{col}" if fn == "sum" else f"{s} / count({col}) as avg_{col}" if fn == "avg" else f"{fn}({col}) as {fn}_{col}"
+
+
+CNT = 'cast(count(*) as bigint) as "count"'
+RN, NC, NS, CO, OL = ("Region", "CONTAINS", "Nation"), ("Nation", "HAS_CUSTOMER", "Customer"), ("Nation", "HAS_SUPPLIER", "Supplier"), ("Customer", "PLACED", "Order"), ("Order", "HAS_ITEM", "LineItem")
+for _n, _op in (("eq", "="), ("ne", "!="), ("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<=")):
+    _intent(f"simple_lookup_{_n}", f"select p_partkey, p_name from part where p_size {_op} 20", "Part", filters=[("Part", "p_size", _op, 20)], ret=["p_partkey", "p_name"])
+_intent("simple_lookup_contains", "select c_custkey, c_name from customer where contains(c_name, '42')", "Customer", filters=[(None, "c_name", "contains", "42")], ret=["c_custkey", "c_name"])
+_intent("simple_lookup_multi_filter", "select c_custkey, c_name from customer where c_acctbal > 5000 and c_mktsegment = 'BUILDING'", "Customer", filters=[("Customer", "c_acctbal", ">", 5000), ("Customer", "c_mktsegment", "=", "BUILDING")], ret=["c_custkey", "c_name"])
+_intent("date_filter", "select o_orderkey from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1997-01-01'", "Order", filters=[("Order", "o_orderdate", "=", 1996)], ret=["o_orderkey"])
+_intent("whole_node_return", "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier where s_acctbal < 1000", "Supplier", filters=[("Supplier", "s_acctbal", "<", 1000)])
+_intent("simple_count", f"select {CNT} from orders", "Order", agg=("count", None))
+_intent("simple_count_filtered", f"select {CNT} from orders where o_orderstatus = 'F'", "Order", filters=[("Order", "o_orderstatus", "=", "F")], agg=("count", None))
+for _f in ("avg", "sum", "min", "max"):
+    _intent(f"simple_{_f}", f"select {_dec(_f, 'p_retailprice')} from part", "Part", agg=(_f, "p_retailprice"))
+    _intent(f"rel_{_f}_1hop", f"select {_dec(_f, 'o_totalprice')} from customer join orders on c_custkey = o_custkey where c_mktsegment = 'MACHINERY'", "Order", [CO], [("Customer", "c_mktsegment", "=", "MACHINERY")], (_f, "o_totalprice"))
+for _d in ("asc", "desc"):
+    _intent(f"simple_ranking_{_d}", f"select s_suppkey, s_acctbal from supplier order by s_acctbal {_d}, s_suppkey limit 5", "Supplier", order=("Supplier", "s_acctbal", _d), limit=5, ret=["s_suppkey", "s_acctbal"])
+_intent("rel_lookup_1hop", "select n_name from region join nation on r_regionkey = n_regionkey where r_name = 'ASIA'", "Nation", [RN], [("Region", "r_name", "=", "ASIA")], ret=["n_name"])
+_intent("rel_lookup_2hop", "select c_custkey, c_name from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey where r_name = 'ASIA' and c_acctbal > 5000", "Customer", [RN, NC], [("Region", "r_name", "=", "ASIA"), ("Customer", "c_acctbal", ">", 5000)], ret=["c_custkey", "c_name"])
+_intent("rel_lookup_3hop", "select o_orderkey, o_totalprice from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey join orders on c_custkey = o_custkey where r_name = 'EUROPE' and o_totalprice > 300000", "Order", [RN, NC, CO], [("Region", "r_name", "=", "EUROPE"), ("Order", "o_totalprice", ">", 300000)], ret=["o_orderkey", "o_totalprice"])
+_intent("rel_count_1hop", f"select {CNT} from customer join orders on c_custkey = o_custkey where c_mktsegment = 'BUILDING' and o_totalprice > 100000", "Order", [CO], [("Customer", "c_mktsegment", "=", "BUILDING"), ("Order", "o_totalprice", ">", 100000)], ("count", None))
+_intent("rel_count_2hop", f"select {CNT} from customer join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey where l_returnflag = 'R'", "LineItem", [CO, OL], [("LineItem", "l_returnflag", "=", "R")], ("count", None))
+_intent("rel_ranking_1hop", "select s_suppkey, s_acctbal from nation join supplier on n_nationkey = s_nationkey where n_nationkey < 5 order by s_acctbal desc, n_nationkey, s_suppkey limit 5", "Supplier", [NS], [("Nation", "n_nationkey", "<", 5)], order=("Supplier", "s_acctbal", "desc"), limit=5, ret=["s_suppkey", "s_acctbal"])
+_intent("rel_ranking_2hop", "select c_custkey, c_acctbal from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey where r_name = 'AFRICA' order by c_acctbal desc, r_regionkey, n_nationkey, c_custkey limit 10", "Customer", [RN, NC], [("Region", "r_name", "=", "AFRICA")], order=("Customer", "c_acctbal", "desc"), limit=10, ret=["c_custkey", "c_acctbal"])
+_intent("self_relationship", "select b.n_nationkey, b.n_name from nation a join nation b on a.n_regionkey = b.n_regionkey where b.n_nationkey < 10", "Nation", [("Nation", "SAME_REGION", "Nation")], [("Nation", "n_nationkey", "<", 10)], ret=["n_nationkey", "n_name"])
+_intent("label_default_filter", "select l.doc_id, quality from documents d join labels l on d.doc_id = l.doc_id where toxic = 1", "Label", [("Document", "HAS_LABEL", "Label")], [(None, "toxic", "=", 1)], ret=["doc_id", "quality"])
+
+# -- a corpus of intents, from orders, that either engine can make ---------------------------------------------------------
+
+TARGETS = ["Customer", "Supplier", "Part", "Order", "Nowhere"]
+ATTRS = ["c_acctbal", "s_acctbal", "p_size", "o_totalprice", "nothing"]
+OPS = ["=", ">", "<", ">=", "<="]
+FNS = ["avg", "sum", "min", "max"]
+
+
+def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as an intent: regime by o_orderkey % 8, target by customer, filters by status and price."""
+    o = prepare(spark).read.parquet(f"{sf_dir}/orders.parquet")
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    at = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    flt = lambda k, v: F.struct(F.lit(None).cast("string").alias("node_label"), at(ATTRS, c).alias("attribute"), at(OPS, k).alias("operator"), v.cast("string").alias("value"))
+    n = i % 3
+    none = lambda kind: F.lit(None).cast(kind)
+    step = F.struct(F.lit("Region").alias("src"), F.lit("CONTAINS").alias("rel"), F.lit("Nation").alias("dst"))
+    return o.select(
+        i.alias("id"), at(REGIMES, i).alias("regime"), at(TARGETS, c).alias("target"), F.when(i % 8 >= 4, F.array(step)).otherwise(F.slice(F.array(step), 1, 0)).alias("path"),
+        F.slice(F.array(flt(i, i % 50), flt(c, c % 70)), F.lit(1), n.cast("int")).alias("filters"),
+        F.when((i % 4 == 2), F.struct(at(FNS, c).alias("function"), at(ATTRS, c).alias("attribute"))).when(i % 4 == 1, F.struct(F.lit("count").alias("function"), none("string").alias("attribute"))).alias("aggregate"),
+        F.when(i % 4 == 3, F.struct(none("string").alias("node_label"), at(ATTRS, c).alias("attribute"), at(["asc", "desc"], c).alias("direction"))).alias("order_by"),
+        F.when((i % 4 == 3) & (c % 7 > 0), at([5, 10, 20], c)).cast("int").alias("limit"),
+        F.slice(F.array(at(ATTRS, c), F.lit("extra")), F.lit(1), (c % 9 == 0).cast("int") + F.when(i % 4 == 0, 1).otherwise(0)).alias("return_attributes"),
+    )
+
+
+def _pick(xs, k):
+    return f"[{', '.join(repr(x) for x in xs)}][({k}) % {len(xs)} + 1]"
+
+
+CORPUS = f"""
+c as (select o_orderkey as id, {_pick(REGIMES, 'o_orderkey')} as regime, {_pick(TARGETS, 'o_custkey')} as target, {_pick(ATTRS, 'o_custkey')} as attr, o_orderkey % 8 >= 4 as hop,
+  o_orderkey % 3 as nf, {_pick(OPS, 'o_orderkey')} as op1, o_orderkey % 50 as v1, {_pick(OPS, 'o_custkey')} as op2, o_custkey % 70 as v2,
+  case o_orderkey % 4 when 2 then {_pick(FNS, 'o_custkey')} when 1 then 'count' end as fn, case when o_orderkey % 4 = 3 then {_pick(['asc', 'desc'], 'o_custkey')} end as dir,
+  case when o_orderkey % 4 = 3 and o_custkey % 7 > 0 then [5, 10, 20][o_custkey % 3 + 1] end as lim, (case when o_custkey % 9 = 0 then 1 else 0 end) + (case when o_orderkey % 4 = 0 then 1 else 0 end) as nr from orders)"""
+CLASH = "(nf = 2 and ((op1 in ('>','>=') and op2 in ('<','<=') and v1 > v2) or (op2 in ('>','>=') and op1 in ('<','<=') and v2 > v1)))"
+REASON = f"""case when target = 'Nowhere' then 'target' when nr = 2 then 'return_attributes' when {CLASH} then 'filters' when fn is null and dir is not null and lim is null then 'limit' end"""
+BUCKET = """concat_ws(';', regime, 'depth_' || (case when hop then '1' else '0' end), 'filter=' || (case when nf > 0 then '1' else '0' end), 'agg=' || (case when fn is not null then '1' else '0' end),
+  'order=' || (case when dir is not null then '1' else '0' end), 'limit=' || (case when lim is not null then '1' else '0' end), 'proj_' || nr)"""
+FEATURES = """f as (select id, unnest(list_distinct(['label:' || target] || (case when hop then ['label:Region', 'label:Nation', 'rel:CONTAINS'] else [] end)
+  || (case when nf > 0 then ['attr:' || target || '.' || attr, 'op:' || op1] else [] end) || (case when nf > 1 then ['op:' || op2] else [] end))) as feature from c)"""
+_ATTRS = {k: v.properties for k, v in DRIVER.labels.items()}
+
+
+def _corpus(name: str, fn, sql: str):
+    QUERIES[name] = lambda spark, sf_dir: fn(intents(spark, sf_dir))
+    ORACLE[name] = f"with {CORPUS}{', ' if sql.startswith('f as') else ' '}{sql}"
+
+
+def _reasoned(d: DataFrame) -> DataFrame:
+    return d.withColumn("reason", F.coalesce(K.reason(_ATTRS, list(DRIVER.patterns)), F.lit("ok")))
+
+
+_corpus("validate_reason_histogram", lambda d: _reasoned(d).groupBy("reason").agg(F.count("*").alias("n")), f"select coalesce({REASON}, 'ok') as reason, count(*) as n from c group by 1")
+_corpus("rejections_by_regime", lambda d: _reasoned(d).where("reason <> 'ok'").groupBy("regime", "reason").agg(F.count("*").alias("n")), f"select regime, {REASON} as reason, count(*) as n from c where {REASON} is not null group by 1, 2")
+_corpus("interval_compat", lambda d: d.where(~K.compatible()).select("id"), f"select id from c where {CLASH}")
+_corpus("bucket_signature_counts", lambda d: d.groupBy(K.bucket().alias("bucket")).agg(F.count("*").alias("n")), f"select {BUCKET} as bucket, count(*) as n from c group by 1")
+_corpus("bucket_balance", lambda d: K.balance(d, 20, 50, 7).select("id", "bucket"), f"select id, bucket from (select id, {BUCKET} as bucket, row_number() over (partition by {BUCKET} order by md5('7:' || id), id) as r from c) where r <= 50")
+_corpus("topk_regimes", lambda d: K.top_regimes(d, 3).groupBy("regime").agg(F.count("*").alias("n")), "select regime, count(*) as n from c group by 1 order by n desc, regime limit 3")
+_corpus("feature_universe", lambda d: K.features(d).groupBy("feature").agg(F.count("*").alias("n")), f"{FEATURES} select feature, count(*) as n from f group by 1")
+_SPLIT = f"""{FEATURES}, h as (select id, md5('3:' || id) as h from c), w as (select distinct arg_min(f.id, struct_pack(h := h.h, id := f.id)) as id from f join h on f.id = h.id group by feature),
+r as (select h.id, w.id is not null as first, row_number() over (partition by w.id is not null order by h.h, h.id) as r from h left join w on h.id = w.id),
+s as (select id, case when (first and r <= g) or (not first and r <= g - t) then 'train' else 'validation' end as part from r, (select floor(count(*) * 0.8)::bigint as g from c), (select count(*) as t from w))"""
+_corpus("coverage_split", lambda d: K.split(d, 0.8, 3).select("id", "part"), f"{_SPLIT} select id, part from s")
+_corpus("split_ratio_adjust", lambda d: K.split(d, 0.8, 3).groupBy("part").agg(F.count("*").alias("n")), f"{_SPLIT} select part, count(*) as n from s group by 1")
+_corpus("coverage_missing", lambda d: K.missing(K.split(d, 0.8, 3)), f"{_SPLIT} select distinct feature from f where feature not in (select feature from f join s on f.id = s.id where part = 'train')")
+_corpus("path_coverage", lambda d: K.counted(d, K.path_text(), "path"), "select case when hop then 'Region-CONTAINS->Nation' else '[]' end as path, count(*) as n from c group by 1")
+_corpus("relationship_usage", lambda d: K.counted(d.select(F.explode("path").alias("p")), F.col("p.rel"), "rel"), "select 'CONTAINS' as rel, count(*) as n from c where hop")
+_corpus("depth_distribution", lambda d: K.counted(d, F.size("path"), "depth"), "select case when hop then 1 else 0 end as depth, count(*) as n from c group by 1")
+_corpus("node_coverage", K.node_coverage, "select label, n, round(n / (select count(*) from c), 3) as rate from (select label, count(*) as n from (select target as label from c union all select 'Region' from c where hop union all select 'Nation' from c where hop) group by 1)")
+_corpus("target_entropy", lambda d: K.entropy(K.counted(d, F.col("target"), "target")), "select round(-sum(n / t * log2(n / t)), 4) as entropy from (select count(*)::double as n, sum(count(*)) over ()::double as t from c group by target)")
+_corpus("mandatory_filter", lambda d: K.with_mandatory(d.withColumn("filters", F.transform("filters", lambda f: f.withField("node_label", F.col("target")))), "Customer", "c_mktsegment", "=", "BUILDING").select("id", F.size("filters").alias("n")), "select id, (nf + case when target = 'Customer' and nf > 0 then 1 else 0 end)::int as n from c")
+_corpus("dedup_structures", lambda d: K.dedup_structures(d.withColumn("filters", F.slice("filters", 1, 0))).select("id", "regime", "target"), "select min(id) as id, regime, target from c group by regime, target, attr, hop, fn, dir, lim, nr")
+_corpus("intent_to_text", lambda d: d.select("id", text.intent_text().alias("text")), """select id, concat_ws(chr(10), 'Regime: ' || regime, 'Target: ' || target, case when hop then 'Path: Region CONTAINS Nation' end,
+  case when nf > 0 then 'Where: ' || attr || ' ' || {0} || ' ' || v1 || (case when nf > 1 then ' and ' || attr || ' ' || {1} || ' ' || v2 else '' end) end,
+  case when fn is not null then 'Compute: ' || fn || (case when fn <> 'count' then ' of ' || attr else '' end) end, case when dir is not null then 'Order: ' || attr || ' ' || dir end,
+  case when lim is not null then 'Limit: ' || lim end, case when nr > 0 then 'Return: ' || attr || (case when nr > 1 then ', extra' else '' end) end) as text from c""".format(*["case %s when '=' then 'equal to' when '>' then 'more than' when '<' then 'less than' when '>=' then 'at least' else 'at most' end" % o for o in ("op1", "op2")]))
+_corpus("prompt_build", lambda d: d.select("id", text.prompt(F.concat(F.lit("  which "), F.col("target"), F.lit("? "))).alias("prompt")), "select id, 'Answer with a query intent in JSON.' || chr(10) || '### Question: which ' || target || '?' || chr(10) || '### Answer:' || chr(10) as prompt from c")
+_corpus("json_extract", lambda d: d.select("id", text.first_object(F.concat(F.lit('so: {"a": {"b": '), F.col("id").cast("string"), F.lit("}} and {}"))).alias("json")), """select id, '{"a": {"b": ' || id || '}}' as json from c""")
+_corpus("paraphrase_union", lambda d: text.paraphrases(d.select("id", F.col("target").alias("question"))), "select id, unnest([target, 'Please tell me: ' || target, 'I would like to know: ' || target]) as question from c")
+
+
+def _expanded(d: DataFrame) -> DataFrame:
+    pol = d.sparkSession.createDataFrame([("Customer", "avg", "c_acctbal"), ("Customer", "sum", "c_acctbal"), ("Part", "max", "p_size")], "label string, function string, attribute string")
+    return K.expand_aggregates(d, pol).groupBy("target", "aggregate.function", "aggregate.attribute").agg(F.count("*").alias("n"))
+
+
+def _ranked(d: DataFrame) -> DataFrame:
+    pol = d.sparkSession.createDataFrame([("Customer", "c_acctbal"), ("Part", "p_size"), ("Part", "p_retailprice")], "label string, attribute string")
+    return K.expand_ranking(d, pol).groupBy("target", "order_by.attribute", "order_by.direction", "limit").agg(F.count("*").alias("n"))
+
+
+_corpus("agg_expansion", _expanded, "select target, function, attribute, sum(1 + case when nf > 0 then 1 else 0 end)::bigint as n from c join (values ('Customer', 'avg', 'c_acctbal'), ('Customer', 'sum', 'c_acctbal'), ('Part', 'max', 'p_size')) p(label, function, attribute) on target = label group by 1, 2, 3")
+_corpus("order_limit_expansion", _ranked, "select target, attribute, direction, \"limit\", count(*) as n from c join (values ('Customer', 'c_acctbal'), ('Part', 'p_size'), ('Part', 'p_retailprice')) p(label, attribute) on target = label, (values ('asc'), ('desc')) d(direction), (values (5), (10), (20)) l(\"limit\") group by 1, 2, 3, 4")
+
+
+def _wrong(d: DataFrame) -> DataFrame:
+    """Predictions: every fifth target and every third limit is another."""
+    return d.withColumn("target", F.when(F.col("id") % 5 == 0, F.lit("Region")).otherwise(F.col("target"))).withColumn("limit", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("limit"))).withColumn("filters", F.slice("filters", 1, 1))
+
+
+def _diff(d: DataFrame) -> DataFrame:
+    return K.diff(d, _wrong(d))
+
+
+_LEAF = """g as (select id, 'target.label' as path, target as e, case when id % 5 = 0 then 'Region' else target end as p from c
+ union all select id, 'limit', coalesce(lim::varchar, 'null'), case when id % 3 = 0 then '7' else coalesce(lim::varchar, 'null') end from c)"""
+ORACLE["schema_diff"] = f"with {CORPUS}, {_LEAF} select id, path, e as expected, p as predicted from g where e <> p"
+QUERIES["schema_diff"] = lambda s, d: _diff(intents(s, d)).where("not same and path in ('target.label', 'limit')").select("id", "path", "expected", "predicted")
+ORACLE["component_accuracy"] = f"with {CORPUS}, {_LEAF} select path as component, count(*) as total, count(*) filter (e = p) as correct, round(100.0::double * count(*) filter (e = p) / count(*), 2) as accuracy from g group by 1"
+QUERIES["component_accuracy"] = lambda s, d: K.by_component(_diff(intents(s, d)).where("path in ('target.label', 'limit')"))
+ORACLE["exact_match"] = f"with {CORPUS} select count(*) filter (nf < 2 and (id % 5 <> 0 or target = 'Region') and (id % 3 <> 0 or lim = 7)) as exact, count(*) as total from c"
+QUERIES["exact_match"] = lambda s, d: _diff(intents(s, d)).groupBy("id").agg(F.bool_and("same").alias("ok")).agg(F.count_if("ok").alias("exact"), F.count("*").alias("total"))
+ORACLE["error_ranking"] = f"with {CORPUS}, {_LEAF} select path, e as expected, p as predicted, count(*) as n from g where e <> p group by 1, 2, 3 order by n desc, path, expected, predicted limit 20"
+QUERIES["error_ranking"] = lambda s, d: K.errors(_diff(intents(s, d)).where("path in ('target.label', 'limit')"))
+QUERIES["field_accuracy"] = lambda s, d: _diff(intents(s, d)).agg(F.count_if("same").alias("correct"), F.count("*").alias("total"))
+_corpus("regime_accuracy", lambda d: d.select((F.when(F.col("id") % 10 == 0, "other").otherwise(F.col("regime")) == F.col("regime")).alias("ok")).agg(F.round(F.lit(100.0) * F.count_if("ok") / F.count("*"), 2).alias("accuracy")), "select round(100.0::double * count(*) filter (id % 10 <> 0) / count(*), 2) as accuracy from c")
+QUERIES["insert_before_regime"] = lambda s, d: K.insert_before(intents(s, d).where("id % 2 = 0 or id > 100").select("id", "regime"), intents(s, d).where("id <= 3").select("id", "regime"), "simple_ranking_query").select("id", F.col("pos.a").alias("a"), F.col("pos.b").alias("b"))
+ORACLE["insert_before_regime"] = f"with {CORPUS}, k as (select id, regime from c where id % 2 = 0 or id > 100) select id, id::double as a, 1 as b from k union all select id, (select coalesce(min(id) filter (regime = 'simple_ranking_query')::double, 'inf'::double) from k), 0 from c where id <= 3"
+_TRIPLES = [t for t in sorted(DRIVER.patterns) if t[0] != t[2]]
+QUERIES["path_enumeration"] = lambda s, d: K.paths(s, _TRIPLES, 3).select(K.path_text().alias("path"))
+ORACLE["path_enumeration"] = f"""with recursive e(src, rel, dst) as (values {', '.join(map(str, _TRIPLES))}), p(path, seen, d) as (select src || '-' || rel || '->' || dst, [src, dst], 1 from e
+ union all select path || '|' || src || '-' || rel || '->' || dst, seen || [dst], d + 1 from p join e on seen[-1] = src where d < 3 and not list_contains(seen, dst)) select path from p"""
+QUERIES["filter_combinations"] = lambda s, d: K.combinations(s.read.parquet(f"{d}/nation.parquet"), "n_regionkey", "n_nationkey", 3).select("n_regionkey", F.array_join(F.transform("set", lambda x: x.cast("string")), ",").alias("set"))
+ORACLE["filter_combinations"] = """select n_regionkey, n_nationkey::varchar as "set" from nation union all select a.n_regionkey, concat_ws(',', a.n_nationkey, b.n_nationkey) from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey
+ union all select a.n_regionkey, concat_ws(',', a.n_nationkey, b.n_nationkey, c.n_nationkey) from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey join nation c on b.n_regionkey = c.n_regionkey and b.n_nationkey < c.n_nationkey"""

@@ -81,7 +81,7 @@ def with_mandatory(intents: DataFrame, label: str, attribute: str, operator: str
 def compatible(filters: str = "filters") -> Column:
     """No attribute has a lower bound above an upper one."""
     bound = lambda ops, f: F.filter(filters, lambda x: (x["attribute"] == f["attribute"]) & x["operator"].isin(*ops))
-    num = lambda fs: F.transform(fs, lambda x: F.expr("try_cast(0 as double)") if False else x["value"].try_cast("double"))
+    num = lambda fs: F.transform(fs, lambda x: x["value"].try_cast("double"))
     return ~F.exists(filters, lambda f: F.coalesce(F.array_max(num(bound((">", ">="), f))) > F.array_min(num(bound(("<", "<="), f))), F.lit(False)))
 
 
