@@ -3,7 +3,9 @@
 Every document has the key -ln(u)/w, with u a hash of its id in (0, 1) and w its quality weight.  A source's target is
 met by whole epochs first; what is left goes to the documents with the smallest keys until their sizes add up to it
 (the document at the edge is taken if that brings the sum nearer).  Prefix sums run in two levels: keys fall into
-narrow ranges whose sums are added up first, so no task holds a whole source.
+narrow ranges whose sums are added up first, so no task holds a whole source.  Documents meet the plan of their source
+without a shuffle: the plan is broadcast when its counted size is small, and beyond that the sources with many rows are,
+of which there are few, while the rest join by source.
 
 Defined results: null and empty texts have size 0; a null source is a source of its own, after all others; a source of
 size 0 has target 0; rows with equal source, id and key are taken together; an empty table gives no rows.
@@ -19,7 +21,8 @@ from . import common as C
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-RANGES = 256  # of keys, in a unit of the key
+RANGES = 2048  # of keys, in a unit of the key
+SMALL = 4 << 20  # bytes of a plan that is broadcast whole
 SYMBOLS = "#$%&*|<>{}\\^~"
 
 
@@ -71,6 +74,21 @@ def plan(sizes: DataFrame) -> DataFrame:
     )
 
 
+def with_plan(rows: DataFrame, sizes: DataFrame, small: int = SMALL) -> DataFrame:
+    """rows with the columns of their source's plan; sizes: what sized() gave for them."""
+    goal = C.materialize(plan(sizes).withColumnRenamed("source", "_pgq_source"))
+    same = F.expr("source <=> _pgq_source")
+    held = goal.agg(F.sum(F.coalesce(F.octet_length("_pgq_source"), F.lit(0)) + 100)).first()[0] or 0
+    if held <= small:
+        return rows.join(F.broadcast(goal), same)
+    parts = C.partitions(rows.sparkSession)
+    count = sizes.groupBy("source").agg(F.count("*").alias("n"))
+    many = count.crossJoin(F.broadcast(sizes.agg(F.count("*").alias("every")))).where(F.col("n") * parts >= F.col("every")).select("source")  # `parts` rows at most
+    hot = C.materialize(goal.join(F.broadcast(many), same, "left_semi"))
+    cold = goal.join(F.broadcast(hot.select(F.col("_pgq_source").alias("source"))), same, "left_anti")
+    return rows.join(F.broadcast(hot), same).unionByName(rows.join(F.broadcast(hot), same, "left_anti").join(cold, same))
+
+
 def copies(cut: str = "cut") -> Column:
     """How often a document is taken, from its key and its source's plan."""
     once = F.col(cut).isNotNull() & (F.struct(F.col("key"), F.coalesce("doc_id", F.lit(C.NO_ID)).alias("id")) <= F.col(cut))
@@ -84,8 +102,7 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     sizes = sized(docs)
-    both = sizes.alias("d").join(plan(sizes).alias("p"), F.expr("d.source <=> p.source"))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+    return with_plan(sizes, sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -95,10 +112,9 @@ def op8(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it (0 to 2 times).  Documents of size 0 stay once: they
     weigh nothing."""
-    goal = plan(sized(docs)).select(F.col("source").alias("_pgq_source"), "source_size", "epochs", "cut")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(own, F.col("doc_id"), F.col("source"), key_of(F.col("doc_id"), F.col("text")).alias("key"), size_of(F.col("text")).alias("size"))
-    both = rows.join(goal, F.expr("source <=> _pgq_source")).withColumn("n", F.when(F.col("size") > 0, copies()).otherwise(1).cast("int"))
+    both = with_plan(rows, sized(docs)).withColumn("n", F.when(F.col("size") > 0, copies()).otherwise(1).cast("int"))
     return both.where("n > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")).select("row.*")
 
 
