@@ -114,7 +114,7 @@ def blocks_of(docs: DataFrame, keep: list[str] = (), size: int = BLOCK_BYTES) ->
             yield out()
 
     name = f"pgq_blocks_{uuid.uuid4().hex}"
-    rows = docs.select("doc_id", F.col("text"), *[F.col(f"`{c}`") for c in keep])
+    rows = docs.select("doc_id", F.col("text"), *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)])  # mapInArrow can't take every name
     rows.mapInArrow(make, BLOCK_SCHEMA).write.bucketBy(partitions(spark), "block").format("parquet").saveAsTable(name)
     return spark.table(name)
 

@@ -262,7 +262,8 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
             s = [scorer.score(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])  # mapInArrow can't take every name
+    return plain.mapInArrow(run, schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
