@@ -69,7 +69,10 @@ def votes_of(text: str, words: set[str], lists: list[frozenset]) -> tuple[int, .
 
 
 class LabelModel:
-    """P(vote | class) of each voter, a weight of each voter from correlations, and the prior."""
+    """P(vote | class) of each voter, a weight of each voter from correlations, and the prior.
+
+    Rows with known labels anchor the classes.  Without any, voters that repeat each other can pass for the truth.
+    """
 
     def fit(self, votes: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 30) -> LabelModel:
         """votes: patterns x voters in {-1, 0, 1}; counts: of rows without a known label; known: patterns x 2 counts of
