@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pgq.functions import text
 from pgq.operators import corpus as K
+from pgq.operators import normal as N
 from pgq.operators.planner import plan
 from pgq.plans.catalog import DRIVER
 from pgq.plans.intent import REGIMES
@@ -177,6 +178,9 @@ QUERIES["exact_match"] = lambda s, d: _diff(intents(s, d)).groupBy("id").agg(F.b
 ORACLE["error_ranking"] = f"with {CORPUS}, {_LEAF} select path, e as expected, p as predicted, count(*) as n from g where e <> p group by 1, 2, 3 order by n desc, path, expected, predicted limit 20"
 QUERIES["error_ranking"] = lambda s, d: K.errors(_diff(intents(s, d)).where("path in ('target.label', 'limit')"))
 QUERIES["field_accuracy"] = lambda s, d: _diff(intents(s, d)).agg(F.count_if("same").alias("correct"), F.count("*").alias("total"))
+ORACLE["field_accuracy"] = f"""with {CORPUS}, {_LEAF}, n as (select id, 4 * nf as gold, 4 * least(nf, 1) as pred, case when nf = 0 then 0
+   when nf = 1 or [attr, op1, v1::varchar] <= [attr, op2, v2::varchar] then 4 else 2 + (op1 = op2)::int + (v1 = v2)::int end as same, case when fn is not null then 2 else 0 end + case when dir is not null then 2 else 0 end + nr as rest from c)
+ select (select count(*) filter (e = p) from g) + sum(same + rest)::bigint as correct, (select count(*) from g) + sum(greatest(gold, pred) + rest)::bigint as total from n"""
 _corpus("regime_accuracy", lambda d: d.select((F.when(F.col("id") % 10 == 0, "other").otherwise(F.col("regime")) == F.col("regime")).alias("ok")).agg(F.round(F.lit(100.0) * F.count_if("ok") / F.count("*"), 2).alias("accuracy")), "select round(100.0::double * count(*) filter (id % 10 <> 0) / count(*), 2) as accuracy from c")
 QUERIES["insert_before_regime"] = lambda s, d: K.insert_before(intents(s, d).where("id % 2 = 0 or id > 100").select("id", "regime"), intents(s, d).where("id <= 3").select("id", "regime"), "simple_ranking_query").select("id", F.col("pos.a").alias("a"), F.col("pos.b").alias("b"))
 ORACLE["insert_before_regime"] = f"with {CORPUS}, k as (select id, regime from c where id % 2 = 0 or id > 100) select id, id::double as a, 1 as b from k union all select id, (select coalesce(min(id) filter (regime = 'simple_ranking_query')::double, 'inf'::double) from k), 0 from c where id <= 3"
@@ -187,3 +191,30 @@ ORACLE["path_enumeration"] = f"""with recursive e(src, rel, dst) as (values {',
 QUERIES["filter_combinations"] = lambda s, d: K.combinations(s.read.parquet(f"{d}/nation.parquet"), "n_regionkey", "n_nationkey", 3).select("n_regionkey", F.array_join(F.transform("set", lambda x: x.cast("string")), ",").alias("set"))
 ORACLE["filter_combinations"] = """select n_regionkey, n_nationkey::varchar as "set" from nation union all select a.n_regionkey, concat_ws(',', a.n_nationkey, b.n_nationkey) from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey
  union all select a.n_regionkey, concat_ws(',', a.n_nationkey, b.n_nationkey, c.n_nationkey) from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey join nation c on b.n_regionkey = c.n_regionkey and b.n_nationkey < c.n_nationkey"""
+
+
+def _raw(d: DataFrame) -> DataFrame:
+    """The corpus as JSON text: each path encoding in turn, limits as numbers, structs or (unreadable) text, and text that isn't JSON."""
+    i, num = F.col("id"), lambda k: F.get("filters", k)["value"].cast("long")
+    step = F.when(i % 4 == 0, '["Region","CONTAINS","Nation"]').when(i % 4 == 1, '{"from":"Region","relationship":"CONTAINS","to":"Nation"}').when(i % 4 == 2, '{"from":"Region","rel":"CONTAINS","to":"Nation"}').otherwise('{"source":{"label":"Region"},"relationship":"CONTAINS","target":{"label":"Nation"}}')
+    value = lambda k: F.when(i % 5 == 0, F.concat(F.lit('"value":'), num(k))).when(i % 5 == 1, F.concat(F.lit('"value":'), num(k), F.lit(".5"))).when(i % 5 == 2, F.lit('"value":true')).when(i % 5 == 3, F.concat(F.lit('"value":"'), num(k), F.lit('"'))).otherwise(F.concat(F.lit('"value_int":'), num(k)))
+    one = lambda k: F.concat(F.lit('{"attribute":"'), F.get("filters", k)["attribute"], F.lit('","operator":"'), F.get("filters", k)["operator"], F.lit('",'), value(k), F.lit("}"))
+    limit = F.when(F.col("limit").isNull(), "null").when(i % 3 == 0, F.col("limit").cast("string")).when(i % 3 == 1, F.concat(F.lit('{"value":'), F.col("limit"), F.lit("}"))).otherwise(F.concat(F.lit('"'), F.col("limit"), F.lit('"')))
+    body = F.concat(
+        F.lit('{"target":'), F.when(i % 2 == 0, F.concat(F.lit('"'), F.col("target"), F.lit('"'))).otherwise(F.concat(F.lit('{"label":"'), F.col("target"), F.lit('"}'))), F.lit(',"path":['), F.when(F.size("path") > 0, step).otherwise(""),
+        F.lit('],"filters":'), F.when(F.size("filters") == 0, "[]").when(F.size("filters") == 1, one(0)).otherwise(F.concat(F.lit("["), one(0), F.lit(",7,"), one(1), F.lit("]"))), F.lit(',"limit":'), limit, F.lit("}"),
+    )
+    return d.select("id", F.when(i % 11 == 0, "{not json").otherwise(F.concat(F.lit('{"regime":"'), F.col("regime"), F.lit('","schema":'), body, F.lit("}"))).alias("raw"))
+
+
+_corpus(
+    "normalize_ir", lambda d: N.normalize(_raw(d)).select("id", "regime", "target", K.path_text().alias("path"), F.size("filters").alias("n_filters"), "limit"),
+    """select id, case when ok then regime end as regime, case when ok then target end as target, case when ok and hop then 'Region-CONTAINS->Nation' else '[]' end as path, (case when ok then nf else 0 end)::int as n_filters,
+  case when ok and id % 3 < 2 then lim end as "limit" from (select *, id % 11 <> 0 as ok from c)""",
+)
+_corpus(
+    "value_typing", lambda d: N.normalize(_raw(d)).select("id", F.posexplode("filters").alias("at", "f")).select("id", "at", "f.attribute", "f.operator", "f.value_str", "f.value_int", "f.value_float", "f.value_bool"),
+    """select id, pos::int as at, attr as attribute, case pos when 0 then op1 else op2 end as operator, case when id % 5 = 3 then v::varchar end as value_str, case when id % 5 in (0, 4) then v end as value_int,
+  case when id % 5 = 1 then v + 0.5::double end as value_float, case when id % 5 = 2 then true end as value_bool
+  from (select *, case pos when 0 then v1 else v2 end as v from c, (values (0), (1)) p(pos) where pos < nf and id % 11 <> 0)""",
+)

@@ -159,3 +159,23 @@ def test_insert_before(spark):
     got = K.insert_before(d, rows(spark, [one(9)]), "simple_ranking_query").orderBy("pos", "id")
     assert [r.id for r in got.collect()] == [1, 9, 2, 3]
     assert K.insert_before(d, rows(spark, [one(9)]), "none").where("id = 9").first().pos.a == math.inf
+
+
+def test_bulk_normal_form_is_that_of_one_intent(spark):
+    from pgq.operators import normal as N
+
+    step = {"source": {"label": "A"}, "relationship": "R", "target": {"label": "B"}}
+    some = [
+        None, 3, [], {}, "x", {"schema": 1}, {"schema": {"filters": "x", "path": {}, "order_by": [], "limit": "5"}}, {"schema": {"limit": True}}, {"schema": {"limit": 5.0, "return_attributes": ["a", 1]}},
+        ir(path=[["A", "R", "B"], step, {"from": "A", "relationship": "R", "to": "B"}, {"from": "A", "rel": "R", "to": "B"}, ["A"], 7]), ir(path=step), ir(filters={"attribute": "x", "operator": "=", "value": 4}),
+        ir(filters=[{"attribute": "x", "operator": "=", "value": v} for v in (True, False, 0, 5.0, 2.5, "4", "", None)] + [3, "f", {"node_label": "A", "attribute": "x", "operator": "<", "value_float": 1.5, "value_str": None}]),
+        ir(aggregate={"function": "avg", "attribute": "q"}, order_by={"attribute": "q", "direction": "asc"}, limit={"value": 3}), {"intent": {"regime": "r", "modifiers": ["filter", 2]}, "schema_spec": {"target": "Customer", "return": "c_name"}},
+        {"user_intent": "u", "target": "Customer", "limit": 2}, ir(limit=-1),
+    ]
+    raw = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(some)] + [(99, "{broken"), (100, None)], "id long, raw string")
+    got = {r.id: r for r in N.normalize(raw).collect()}
+    for i, x in [*enumerate(some), (99, None), (100, None)]:
+        want, r = I.normalize(x), got[i].asDict(recursive=True)
+        s = want["schema"]
+        assert (r["regime"], r["modifiers"], r["target"], r["limit"], r["return_attributes"]) == (want["regime"], want["modifiers"], s["target"]["label"], s["limit"], s["return_attributes"]), x
+        assert [tuple(p.values()) for p in r["path"]] == s["path"] and r["filters"] == s["filters"] and r["aggregate"] == s["aggregate"] and r["order_by"] == s["order_by"], x
