@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from . import common as C
 
 CAP, END, NAME = 2048, 0, "word_bpe_49k.json"
-_KEPT_WORDS = 250_000
+_KEPT_WORDS = 250_000  # in each of two generations
 _PLAIN = re.compile("[!-;=-~\xa1-ɏ]+")  # '<' may open an added token
 
 
@@ -41,7 +41,8 @@ class Ids(dict):
 
     The tokenizer's splits never cross white space, so a text's ids are those of its words in turn.  Words of printable
     Latin letters and signs are split and merged by the tokenizer's own model; any other goes through the whole
-    tokenizer.  A bounded number of words is remembered.
+    tokenizer.  Words are remembered in two generations of a bounded size: when the young one is full it becomes the old
+    one, and words that come again move back, so frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -52,13 +53,14 @@ class Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = False
+        self.plain, self.old, self.old_parts = False, {}, {}
         spec = json.load(open(path, encoding="utf-8"))  # the file of a tokenizer is local to every executor
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["invert"] and pre[0]["behavior"] == "Removed" and not pre[1]["add_prefix_space"]:
             self.plain, self.find = True, regex.compile(pre[0]["pattern"]["Regex"]).findall
             self.merge, self.parts = self.tokenizer.model.tokenize, {}
+            self.letters = "[\\p{L}]+" in pre[0]["pattern"]["Regex"].split("|")  # a word of letters is one part
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
             self.chars = {b: chr(b) for b in printable}
             for b in range(256):
@@ -66,19 +68,25 @@ class Ids(dict):
 
     def part(self, x: str) -> bytes:
         if (got := self.parts.get(x)) is None:
-            mapped = x if x.isascii() else "".join(map(self.chars.__getitem__, x.encode()))
-            got = self.parts[x] = np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
-            if len(self.parts) > _KEPT_WORDS:
-                self.parts.clear()
+            if (got := self.old_parts.get(x)) is None:
+                mapped = x if x.isascii() else "".join(map(self.chars.__getitem__, x.encode()))
+                got = np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
+            if len(self.parts) >= _KEPT_WORDS:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[x] = got
         return got
 
     def __missing__(self, word: bytes) -> bytes:
-        s = word.decode()
-        if self.plain and _PLAIN.fullmatch(s):
-            got = b"".join(map(self.part, self.find(s.lower())))
-        else:
-            got = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) > _KEPT_WORDS:
+        if (got := self.old.get(word)) is None:
+            s = word.decode()
+            if self.plain and self.letters and word.isalpha():
+                got = self.part(s.lower())
+            elif self.plain and _PLAIN.fullmatch(s):
+                got = b"".join(map(self.part, self.find(s.lower())))
+            else:
+                got = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= _KEPT_WORDS:
+            self.old = dict(self)
             self.clear()
         self[word] = got
         return got
