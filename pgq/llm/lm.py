@@ -8,8 +8,7 @@ classes of the last two.  P(token | class) is what the counts of all training to
 
 Counts.  Blocks of documents ask, for each of their distinct words, how often all training documents hold it: an entry a
 block and word, by hash (64 bits of each word's bytes).  The weights are trained by distributed gradient updates: in each
-round every task runs over its training documents, taking each `STRIDE`th position (another one each round) so that every
-document counts in every round; the tasks' weights, averaged by how many positions they have seen, start the next round.
+round every task runs over every position of its training documents; the tasks' weights, averaged by how many positions they have seen, start the next round.
 Scores are made in sparse numpy batches: a token reads the rows of its own few features.
 
 Defined results: null and empty texts have the end as their one token; repeated rows count and are scored each; a row
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-CLASSES, ROWS, STRIDE, ROUNDS, BATCH, RATE = 32, 4096, 8, 2, 4096, 0.25
+CLASSES, ROWS, ROUNDS, BATCH, RATE = 32, 4096, 2, 4096, 0.25
 _rng = np.random.default_rng(99)
 _BYTE = _rng.integers(0, 2**64, 256, dtype="u8")
 _PLACE = _rng.integers(0, 2**63, 256, dtype="u8") * np.uint64(2) + np.uint64(1)
@@ -141,7 +140,7 @@ def update(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, k: np.ndarray) ->
     """One gradient step for a batch, scaled by row as Adagrad does."""
     g = -np.exp(log_classes(w, rows))
     g[np.arange(len(k)), k] += 1
-    order = np.argsort(rows.ravel(), kind="stable")
+    order = np.argsort(rows.ravel().astype("u2"), kind="stable")  # two bytes are sorted by radix
     flat = rows.ravel()[order]
     head = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     use = flat[head]
@@ -151,7 +150,7 @@ def update(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, k: np.ndarray) ->
     w[use] += RATE * grad / np.sqrt(seen[use] + 1e-6) - 1e-5 * w[use]
 
 
-def _gradients(w: np.ndarray, turn: int):
+def _gradients(w: np.ndarray):
     def run(batches):
         own, seen, positions = w.astype("f4").copy(), np.full((ROWS, 1), 1.0, "f4"), 0
         for row in C.rows_of(batches):
@@ -159,8 +158,7 @@ def _gradients(w: np.ndarray, turn: int):
             h, k, doc = tokens(b.buf, b.offs)
             if not len(h):
                 continue
-            rows, train = features(h, k, doc), ~is_held_out(b.ids)[doc]
-            pick = np.flatnonzero(train & ((np.arange(len(h)) + turn) % STRIDE == 0))
+            rows, pick = features(h, k, doc), np.flatnonzero(~is_held_out(b.ids)[doc])
             for lo in range(0, len(pick), BATCH):
                 at = pick[lo : lo + BATCH]
                 update(own, seen, rows[at], k[at])
@@ -182,8 +180,8 @@ def _mean(bucket: int, rows: list[dict]):
 def train(blocks: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of the classes; what reaches the driver is one mean for each of a few groups of tasks."""
     w, groups = np.zeros((ROWS, CLASSES), "f4"), 4
-    for turn in range(rounds):
-        sent = blocks.mapInArrow(_gradients(w, turn), C.MESSAGE).withColumn("bucket", F.pmod(F.xxhash64("payload"), F.lit(groups)).cast("int"))
+    for _ in range(rounds):
+        sent = blocks.mapInArrow(_gradients(w), C.MESSAGE).withColumn("bucket", F.pmod(F.xxhash64("payload"), F.lit(groups)).cast("int"))
         got = C.dealt(sent, groups).mapInArrow(C.by_bucket(_mean), C.MESSAGE).collect()
         n = sum(r["block"] for r in got)
         if n:
