@@ -1,0 +1,15 @@
+"""The share of upper-case characters is that of the whole text."""
+
+import random
+
+import numpy as np
+import pytest
+
+from pgq.llm import quality
+
+
+@pytest.mark.parametrize("text", ["xA" * 2000, "Ax" * 5000 + "quiet " * 10_000, "ÄäΩω\U00010400ⅣⒶ ß" * 3000])
+def test_upper_case_share_counts_every_character(text):
+    text += "".join(random.Random(3).choices("aB ", k=501))
+    got = quality.pooled(text, np.zeros((quality.ROWS, quality.DIMS), "f4"))[2 * quality.DIMS + 3]
+    assert got == pytest.approx(sum(c.isupper() for c in text) / len(text), rel=1e-6)
