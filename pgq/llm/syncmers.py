@@ -2,9 +2,8 @@
 
 Words are hashed; pairs of words are the inner strings.  A run of five words is kept if the smallest of its four pairs is
 the first or the last: a choice that depends on the five words alone, so equal passages yield equal anchors wherever they
-stand.  The fingerprint is the sorted list of the smallest 128 distinct 32-bit hashes of the runs kept, as hexadecimal
-digits; likeness is the share of the 128 smallest of the union that both have (the exact Jaccard index for documents with
-fewer runs than that).
+stand.  The fingerprint is the list of all runs kept, in the order of the text: eight hexadecimal digits for the number of
+the run's first word, eight for its 32-bit hash.  Likeness is the exact Jaccard index of the sets of hashes.
 
 Defined results: fewer than five words count as one run; no words (null, empty, white space) give an empty fingerprint,
 which is like an empty one (1.0) and unlike any other (0.0).  Rows are taken in order of doc_id, descending, nulls last,
@@ -19,7 +18,7 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-KEPT, RUN = 128, 5
+RUN = 5
 BITS = 12  # 4096 ids make a part: rows whose order is found together
 
 
@@ -27,30 +26,34 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
 
 
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the sorted smallest hashes of the syncmers of a column."""
+    """Add the anchors of a column, first to last: number of the first word times 2^32, plus the hash of the run."""
     w, s = f"_w_{out}", f"_s_{out}"
     df = df.withColumn(w, _words(F.col(text)))
     df = df.withColumn(w, F.transform(w, lambda x: F.xxhash64(x)))
     pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     df = df.withColumn(s, pairs)
     at = lambda i, k: F.get(F.col(s), i + k)
-    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     kept = F.transform(
         F.sequence(F.lit(0), F.size(s) - RUN + 1),
-        lambda i: F.when(F.least(at(i, 0), at(i, RUN - 2)) <= F.least(at(i, 1), at(i, 2)), low(F.xxhash64(at(i, 0), at(i, 2), at(i, 3)))),
+        lambda i: F.when(F.least(at(i, 0), at(i, RUN - 2)) <= F.least(at(i, 1), at(i, 2)), F.shiftleft(i.cast("long"), 32) + _low(F.xxhash64(at(i, 0), at(i, 2), at(i, 3)))),
     )
-    runs = F.when(F.size(w) >= RUN, F.array_compact(kept)).when(F.size(w) > 0, F.array(low(F.xxhash64(F.col(w))))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(runs)), 1, KEPT)).drop(w, s)
+    runs = F.when(F.size(w) >= RUN, F.array_compact(kept)).when(F.size(w) > 0, F.array(_low(F.xxhash64(F.col(w))))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(out, runs).drop(w, s)
 
 
 def text_of(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both))
+    a, b = F.transform(a, _low), F.transform(b, _low)
+    either = F.size(F.array_union(a, b))
+    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -62,13 +65,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     part = F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BITS), F.lit(-(2**62)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("part", part)
-    held = sketch(rows, "text", "sketch").repartition(C.partitions(spark), "part")
+    dealt = rows.repartition(C.partitions(spark), "part")
+    held = sketch(dealt, "text", "sketch")
     order = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
     inner = held.withColumn("x", F.lead(F.struct("text", "sketch")).over(order))
     around = Window.orderBy(F.desc("part"))
     parts = rows.select("part").distinct()
     follow = parts.select("part", F.coalesce(F.lead("part").over(around), F.max("part").over(Window.partitionBy())).alias("after"))
-    heads = held.withColumn("rank", F.row_number().over(order)).where("rank = 1").select(F.col("part").alias("after"), F.struct("text", "sketch").alias("head"))
+    first = dealt.withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    heads = sketch(first, "text", "sketch").select(F.col("part").alias("after"), F.struct("text", "sketch").alias("head"))
     whole = inner.join(heads.join(follow, "after").select("part", "head"), "part")
     x = F.coalesce("x", "head")
     return whole.select("doc_id", "text", "sketch", x["text"].alias("next_text"), x["sketch"].alias("next_sketch"))
