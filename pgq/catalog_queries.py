@@ -184,6 +184,12 @@ ORACLE["field_accuracy"] = f"""with {CORPUS}, {_LEAF}, n as (select id, 4 * nf a
 _corpus("regime_accuracy", lambda d: d.select((F.when(F.col("id") % 10 == 0, "other").otherwise(F.col("regime")) == F.col("regime")).alias("ok")).agg(F.round(F.lit(100.0) * F.count_if("ok") / F.count("*"), 2).alias("accuracy")), "select round(100.0::double * count(*) filter (id % 10 <> 0) / count(*), 2) as accuracy from c")
 QUERIES["insert_before_regime"] = lambda s, d: K.insert_before(intents(s, d).where("id % 2 = 0 or id > 100").select("id", "regime"), intents(s, d).where("id <= 3").select("id", "regime"), "simple_ranking_query").select("id", F.col("pos.a").alias("a"), F.col("pos.b").alias("b"))
 ORACLE["insert_before_regime"] = f"with {CORPUS}, k as (select id, regime from c where id % 2 = 0 or id > 100) select id, id::double as a, 1 as b from k union all select id, (select coalesce(min(id) filter (regime = 'simple_ranking_query')::double, 'inf'::double) from k), 0 from c where id <= 3"
+# every component and every row, without SQL
+QUERIES["schema_diff_all"] = lambda s, d: _diff(intents(s, d)).where("not same").select("id", "path", "expected", "predicted")
+QUERIES["component_accuracy_all"] = lambda s, d: K.by_component(_diff(intents(s, d)))
+QUERIES["error_ranking_all"] = lambda s, d: K.errors(_diff(intents(s, d)))
+QUERIES["dedup_structures_all"] = lambda s, d: K.dedup_structures(intents(s, d)).select("id", "regime", "target")
+QUERIES["insert_before_regime_all"] = lambda s, d: K.insert_before(intents(s, d), intents(s, d), "simple_ranking_query").select("id", F.col("pos.a").alias("a"), F.col("pos.b").alias("b"))
 _TRIPLES = [t for t in sorted(DRIVER.patterns) if t[0] != t[2]]
 QUERIES["path_enumeration"] = lambda s, d: K.paths(s, _TRIPLES, 3).select(K.path_text().alias("path"))
 ORACLE["path_enumeration"] = f"""with recursive e(src, rel, dst) as (values {', '.join(map(str, _TRIPLES))}), p(path, seen, d) as (select src || '-' || rel || '->' || dst, [src, dst], 1 from e
