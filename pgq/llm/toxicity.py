@@ -134,26 +134,27 @@ def logistic(x: list[np.ndarray], y: np.ndarray, n: int, rounds: int = 300, l2:
     return w, b
 
 
-def bounded_labels(labels: DataFrame, column: str, mod: int, rest: int, bound: int) -> dict[int, int]:
-    """At most `bound` training labels by doc_id, the smallest by a hash of it.  An id with two labels has the larger."""
+def training_labels(labels: DataFrame, column: str, mod: int, rest: int) -> DataFrame:
+    """doc_id, y of all training labels.  An id with two labels has the larger."""
     train = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~C.held_out(F.col("doc_id"), mod, rest))
-    rows = train.groupBy("doc_id").agg(F.max(column).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
-    return {r[0]: int(r[1]) for r in rows}
+    return train.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("y"))
 
 
-def _count_words(known: dict[int, int]):
-    def run(batches):
-        counts = {0: Counter(), 1: Counter()}
-        for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if d in known:
-                    counts[known[d]].update(words_of(t or ""))
-        words = list(counts[0].keys() | counts[1].keys())
-        for lo in range(0, len(words), 50_000):
-            part = words[lo : lo + 50_000]
-            yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.string()), "clean": pa.array([counts[0][w] for w in part], pa.int64()), "toxic": pa.array([counts[1][w] for w in part], pa.int64())})
+def bounded_labels(labels: DataFrame, column: str, mod: int, rest: int, bound: int) -> dict[int, int]:
+    """At most `bound` training labels by doc_id, the smallest by a hash of it."""
+    rows = training_labels(labels, column, mod, rest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
+    return {r[0]: int(r[1]) for r in rows}
 
-    return run
+
+def _count_words(batches):
+    counts = {0: Counter(), 1: Counter()}
+    for b in batches:
+        for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            counts[y].update(words_of(t or ""))
+    words = list(counts[0].keys() | counts[1].keys())
+    for lo in range(0, len(words), 50_000):
+        part = words[lo : lo + 50_000]
+        yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.string()), "clean": pa.array([counts[0][w] for w in part], pa.int64()), "toxic": pa.array([counts[1][w] for w in part], pa.int64())})
 
 
 class Scorer:
@@ -180,38 +181,34 @@ class Scorer:
 
 
 def _features(scorer: Scorer, known: dict[int, int]):
-    """Vote patterns by label (-1: none) with counts, and the features of rows that have a label."""
+    """Each row's votes (a byte each, 1 added), and the features of rows of the bounded sample."""
 
     def run(batches):
-        seen: Counter = Counter()
         for b in batches:
-            rows: list = []
+            votes, xs = [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                votes, x = scorer.features(t)
-                y = known.get(d, -1)
-                seen[votes, y] += 1
-                if y >= 0:
-                    rows.append((votes, y, 0, x))
-            if rows:
-                yield batch(rows)
-        if seen:
-            yield batch([(v, y, n, None) for (v, y), n in seen.items()])
-
-    def batch(rows):
-        return pa.RecordBatch.from_pydict({"votes": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "y": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.int64()), "x": pa.array([r[3] for r in rows], pa.list_(pa.int32()))})
+                v, x = scorer.features(t)
+                votes.append(bytes(i + 1 for i in v))
+                xs.append(x if d in known else None)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "votes": pa.array(votes, pa.binary()), "x": pa.array(xs, pa.list_(pa.int32()))})
 
     return run
 
 
+def _voted(b: bytes) -> tuple[int, ...]:
+    return tuple(i - 1 for i in b)
+
+
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Scorer:
     C.prepare(docs.sparkSession)
-    known = bounded_labels(labels, "toxic", 5, 0, bound)
+    every, known = C.materialize(training_labels(labels, "toxic", 5, 0)), bounded_labels(labels, "toxic", 5, 0, bound)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     mined, words = [], {}
     if known:
-        pos = max(1, sum(known.values()))
-        neg = max(1, len(known) - pos)
-        counted = texts.where(F.col("doc_id").isNotNull()).mapInArrow(_count_words(known), "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        n, pos = every.agg(F.count("*"), F.sum("y")).first()
+        pos = max(1, pos)
+        neg = max(1, n - pos)
+        counted = texts.join(F.broadcast(every), "doc_id").select("y", "text").mapInArrow(_count_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         a, b = (F.col("toxic") + 0.1) / pos, (F.col("clean") + 0.1) / neg
         odds = counted.where(f"clean + toxic >= {SUPPORT}").withColumn("odds", F.log(a / b)).withColumn("gain", F.abs(a - b) / F.sqrt((a + b) / 2))
         top = odds.where("odds > 1.5").orderBy(F.desc("gain"), "word").limit(8 * MINED).collect()
@@ -219,22 +216,22 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Scorer:
         words = {r["word"]: i for i, r in enumerate(odds.orderBy(F.desc("gain"), "word").limit(WORDS).collect())}
     lists = [frozenset(x.split()) for x in LISTS.values()] + [frozenset(mined[i::_GROUPS]) for i in range(_GROUPS)]
     scorer = Scorer(lists, words)
-    seen = C.materialize(texts.mapInArrow(_features(scorer, known), "votes array<int>, y int, n long, x array<int>"))
-    patterns = seen.where("x is null").groupBy("votes", "y").agg(F.sum("n").alias("n")).collect()  # 3 ^ voters at most
-    votes = sorted({tuple(r["votes"]) for r in patterns})
+    seen = C.materialize(texts.mapInArrow(_features(scorer, known), "doc_id long, votes binary, x array<int>"))
+    labelled = seen.where("doc_id is not null").select("doc_id", "votes").join(every, "doc_id").groupBy("votes", "y").agg(F.count("*").alias("n"))
+    counted = [(_voted(r["votes"]), r["y"], r["n"]) for r in labelled.collect()]  # 3 ^ voters at most
+    whole = {_voted(r["votes"]): r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    votes = sorted(whole)
     at = {v: i for i, v in enumerate(votes)}
-    counts, gold = np.zeros(len(votes)), np.zeros((len(votes), 2))
-    for r in patterns:
-        if r["y"] < 0:
-            counts[at[tuple(r["votes"])]] += r["n"]
-        else:
-            gold[at[tuple(r["votes"])], r["y"]] += r["n"]
+    gold = np.zeros((len(votes), 2))
+    for v, y, n in counted:
+        gold[at[v], y] += n
+    counts = np.array([whole[v] for v in votes], "f8") - gold.sum(1)
     scorer.w = np.zeros(scorer.size)
     if not votes:
         scorer.b = float(np.log(PRIOR / (1 - PRIOR)))
         return scorer
     model = LabelModel().fit(np.array(votes), counts, gold)
-    rows = seen.where("x is not null").select("votes", "y", "x").limit(2 * bound).collect()  # one for each label
+    rows = [{"votes": _voted(r["votes"]), "y": known[r["doc_id"]], "x": r["x"]} for r in seen.where("x is not null").limit(2 * bound).collect()]  # one for each label
     if rows:
         rows.sort(key=lambda r: (r["x"], r["votes"], r["y"]))
         post = model.posterior(np.array([r["votes"] for r in rows]))
