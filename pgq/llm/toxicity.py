@@ -1,17 +1,27 @@
 """Toxicity by weak supervision.
 
-Voters look at a document and say toxic (1), clean (-1) or nothing (0): lists of insults in four languages, lists mined
-from labelled training rows, and patterns.  A generative label model is fitted by EM to how often every combination of
-votes occurs over all documents, with the labelled training rows as known cases: it estimates what each voter says of
-either class, and, from what is left over, which voters repeat each other; those share one vote's weight.  A linear
-classifier is then trained on the posterior labels of a bounded sample (`SAMPLE` labelled training rows, the smallest by a
-hash of their id) and scores the whole text of each document.
+Voters look at a document and fire or say nothing: lists of insults in four languages, lists mined from labelled training
+rows, and patterns.  A generative label model is fitted by EM to how often every combination of votes, with the training
+label or without one, occurs over all documents.  Given the class, a voter depends on one other voter at most: the tree of
+these links is the one that explains most (Chow-Liu), so what repeats another voter adds little to the likelihood.  A
+training label is evidence of the same kind, right as often as the model finds.  A linear classifier over words and stems is
+then trained on the posteriors of documents with and without labels, and a line through the logits of training rows that a
+fit on the other half has not seen places 0.5 midway between the classes (both weigh the same there).
 
-Inputs of a score are words and votes alone: never labels, lang, source or doc_id.
+Insults come with many endings.  A feature is a word, or a stem of `STEMS` letters that two (`x*`) or three (`x**`) tokens
+of the document continue.  What features and mined voters say must hold in both
+halves of the training rows.
+
+Bounds, all parameters: the fit takes `SAMPLE` documents with and as many without a label (the smallest by a hash of
+their id); the classifier has the `WORDS` features that tell most; `SINGLES` mined families vote alone and up to `MINED`
+share one voter more; a feature counts if `SUPPORT` training rows have it.  Counts of features, votes and labels are of all
+documents.  Whole texts are read, however long; a task keeps no more than `MEMO` words in memory.
+
+Inputs of a score are words alone: never labels, lang, source or doc_id.
 
 Defined results: null and empty texts get the score of a text without words; repeated rows are scored each; a row without
-doc_id is never held out and never learned from; without usable labels the mined lists are empty and the prior is `PRIOR`;
-an empty table gives no rows.
+doc_id is never held out and never learned from; without usable labels the mined lists are empty, the prior is `PRIOR` and
+nothing is calibrated; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +37,9 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-SAMPLE, SUPPORT, MINED, WORDS, PRIOR, GOLD = 20_000, 4, 64, 1000, 0.1, 0.995
-STEMS = (4, 6)
+SAMPLE, SUPPORT, MINED, WORDS, PRIOR, SINGLES, MEMO = 20_000, 4, 64, 2000, 0.1, 6, 300_000
+STEMS = range(3, 9)
+SMALL_LABELS = 2_000_000  # labels of 12 bytes that are broadcast to the documents; more are joined by id
 LISTS = {
     "en": "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless clown disgusting filthy vermin hate kill jerk fool imbecile garbage freak ugly creep bastard bitch shit fuck fucking asshole crap bullshit",
     "de": "idiot idioten dumm dummkopf trottel depp arschloch scheiße scheisse abschaum versager hure wichser müll ekelhaft hass blödmann",
@@ -36,17 +47,21 @@ LISTS = {
     "es": "idiota imbécil estúpido estúpida tonto basura mierda cabrón puta asqueroso inútil patético odio escoria payaso",
 }
 _WORD = re.compile(r"[^\W\d_]+")
-_YOU = re.compile(r"\b(?:you|your|du|ihr|tu|vous|eres|sois)\b[^.!?]{0,40}\b(?:are|bist|seid|es|êtes)?\s*(?:" + "|".join(sorted({w for x in LISTS.values() for w in x.split()})) + r")\b")
-_GROUPS = 4
-NAMES = [*LISTS, *(f"mined{i}" for i in range(_GROUPS)), "you", "shouting", "silent"]
+_LISTED = frozenset(w for x in LISTS.values() for w in x.split())
+_YOU = re.compile(r"\b(?:you|your|du|ihr|tu|vous|eres|sois)\b[^.!?]{0,40}\b(?:are|bist|seid|es|êtes)?\s*(?:" + "|".join(sorted(_LISTED)) + r")\b")
+NAMES = [*LISTS, *(f"family{i}" for i in range(SINGLES)), "families", "you", "shouting"]  # 2 ^ 13 patterns of votes at most
 
 
 def words_of(text: str) -> set[str]:
-    """The distinct words, and the first letters that two or more (three or more) of them share, marked * (**): insults
-    come with many endings, and one that is there by chance comes alone."""
-    words = set(_WORD.findall(text.lower()))
-    stems = Counter([w[:k] for w in words for k in STEMS if len(w) > k])
-    return words | {s + "*" * min(n - 1, 2) for s, n in stems.items() if n > 1} | {s + "*" for s, n in stems.items() if n > 2}
+    """All features of a text: its distinct words, and the stems that two (*) or three (**) of its tokens continue."""
+    tokens = Counter(_WORD.findall(text.lower()))
+    stems: Counter = Counter()
+    for w, n in tokens.items():
+        for k in STEMS:
+            if len(w) <= k:
+                break
+            stems[w[:k]] += n
+    return tokens.keys() | {s + "*" for s, n in stems.items() if n > 1} | {s + "**" for s, n in stems.items() if n > 2}
 
 
 def families(found: list[str]) -> list[str]:
@@ -59,63 +74,101 @@ def families(found: list[str]) -> list[str]:
     return kept
 
 
-def votes_of(text: str, words: set[str], lists: list[frozenset]) -> tuple[int, ...]:
-    hits = [1 if not words.isdisjoint(x) else 0 for x in lists]
-    said = any(hits)
+def votes_of(text: str, hits: set[str], lists: list[frozenset]) -> tuple[int, ...]:
+    """One vote (1 or 0) of each voter; hits: features of the text that are in a list or in the vocabulary."""
+    listed = [0 if hits.isdisjoint(x) else 1 for x in lists]
+    said = any(listed)
     you = 1 if said and _YOU.search(text.lower()) else 0
-    marks = text.count("!")
-    shout = 1 if said and marks * 40 > len(text) else 0
-    return (*hits, you, shout, 0 if said else -1)
+    shout = 1 if said and text.count("!") * 40 > len(text) else 0
+    return (*listed, you, shout)
 
 
 class LabelModel:
-    """P(vote | class) of each voter, a weight of each voter from correlations, and the prior.
+    """P(votes | class) as a tree over the voters, how often a label is right, and the prior.
 
-    Rows with known labels anchor the classes.  Without any, voters that repeat each other can pass for the truth.
+    Rows with labels anchor the classes.  Without any, voters that repeat each other can pass for the truth.
     """
 
+    RIGHT, STRENGTH = 0.98, 50.0  # a label is right so often, as sure as so many rows
+
     def fit(self, votes: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 30) -> LabelModel:
-        """votes: patterns x voters in {-1, 0, 1}; counts: of rows without a known label; known: patterns x 2 counts of
-        training rows by label."""
-        kinds = np.stack([votes == v for v in (-1, 0, 1)], 2).astype("f8")
-        labelled = known.sum()
-        self.prior = (known[:, 1].sum() + PRIOR * 10) / (labelled + 10)
-        self.weight = np.ones(votes.shape[1])
-        any_toxic, silent = (votes > 0).any(1), (votes < 0).any(1)
-        start = np.where(any_toxic, 0.8, np.where(silent, 0.02, self.prior))
-        post = known[:, 1] + counts * start if not labelled else known[:, 1]
-        total = known.sum(1) + (counts if not labelled else 0)
+        """votes: patterns x voters in {-1, 0, 1}; counts: of rows without a label; known: patterns x 2 counts of training
+        rows by label."""
+        kinds = self._kinds(votes)
+        n = np.stack([counts, known[:, 0], known[:, 1]], 1).astype("f8")
+        self.prior = float(np.clip((known[:, 1].sum() + PRIOR * 10) / (known.sum() + 10), 1e-4, 0.9))
+        self.right = np.full(2, self.RIGHT)
+        fires, silent = (votes > 0).any(1), (votes < 0).any(1)
+        start = np.where(fires, 0.8, np.where(silent, 0.02, self.prior))
+        post = np.stack([start, np.full(len(votes), 1 - self.RIGHT), np.full(len(votes), self.RIGHT)], 1)
+        if known.sum():  # the first tables are those of labelled rows alone
+            self._m_step(kinds, n * [0, 1, 1], post)
+            post = self._posterior(kinds)
         for _ in range(rounds):
-            self._m_step(kinds, post, total - post)
-            p = self._posterior(kinds)
-            post, total = known[:, 1] + counts * p, known.sum(1) + counts
-            self.weight = self._weights(votes, post, total - post)
+            self._m_step(kinds, n, post)
+            post = self._posterior(kinds)
         return self
 
-    def _m_step(self, kinds: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> None:
-        self.table = np.stack([(np.einsum("p,pvk->vk", n, kinds) + 0.5) / (n.sum() + 1.5) for n in (clean, toxic)])
-        self.prior = float(np.clip((toxic.sum() + PRIOR) / (toxic.sum() + clean.sum() + 1), 1e-4, 0.9))
-
     @staticmethod
-    def _weights(votes: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-        """A voter that says what others say, given the class, shares its weight with them."""
-        total, shared = toxic.sum() + clean.sum(), np.zeros((votes.shape[1],) * 2)
-        for n in (toxic, clean):
-            if n.sum() > 1:
-                x = votes - n @ votes / n.sum()
-                cov = (x * n[:, None]).T @ x / n.sum()
-                sd = np.sqrt(np.diag(cov))
-                shared += n.sum() / total * cov / np.maximum(np.outer(sd, sd), 1e-9)
-        np.fill_diagonal(shared, 0)
-        return 1 / (1 + np.clip(np.where(shared > 0.2, shared, 0), 0, 1).sum(1))
+    def _kinds(votes: np.ndarray) -> np.ndarray:
+        return np.stack([votes == v for v in (-1, 0, 1)], 2).astype("f8")
+
+    def _m_step(self, kinds: np.ndarray, n: np.ndarray, post: np.ndarray) -> None:
+        toxic, clean = (n * post).sum(1), (n * (1 - post)).sum(1)
+        self.prior = float(np.clip((toxic.sum() + PRIOR) / (toxic.sum() + clean.sum() + 1), 1e-4, 0.9))
+        own = [(n[:, 1] * (1 - post[:, 1])).sum(), (n[:, 2] * post[:, 2]).sum()]
+        other = [(n[:, 2] * (1 - post[:, 2])).sum(), (n[:, 1] * post[:, 1]).sum()]
+        self.right = np.array([(a + self.RIGHT * self.STRENGTH) / (a + b + self.STRENGTH) for a, b in zip(own, other, strict=True)])
+        both = np.stack([np.einsum("p,pia,pjb->ijab", w, kinds, kinds, optimize=True) for w in (clean, toxic)])
+        self._tree(both, np.array([clean.sum(), toxic.sum()]))
+
+    def _tree(self, both: np.ndarray, size: np.ndarray) -> None:
+        """Links of the voters and the tables P(vote | vote of the parent, class); both: class x voter x voter x vote x
+        vote."""
+        v = both.shape[1]
+        alone = np.einsum("yiiaa->yia", both)
+        alone = (alone + 0.5) / (size[:, None, None] + 1.5)
+        joint = (both + 0.05) / (size[:, None, None, None, None] + 0.45)
+        ratio = joint / np.maximum(joint.sum(4, keepdims=True) * joint.sum(3, keepdims=True), 1e-12)
+        shared = np.einsum("y,yijab->ij", size / max(size.sum(), 1e-9), joint * np.log(np.maximum(ratio, 1e-12)))
+        np.fill_diagonal(shared, -1)
+        told = -(alone * np.log(alone)).sum(2)
+        told = (told * (size / max(size.sum(), 1e-9))[:, None]).sum(0)
+        #: What each voter says beyond the one it repeats most: 1 if it goes its own way, 0 if it says nothing new.
+        self.weight = 1 - np.clip(shared.max(1) / np.maximum(told, 1e-9), 0, 1) if v > 1 else np.ones(v)
+        parent, best, link = np.full(v, -1), shared[0].copy(), np.zeros(v, "i8")
+        inside = np.zeros(v, bool)
+        inside[0] = True
+        self.order = [0]
+        for _ in range(v - 1):
+            i = int(np.where(inside, -2, best).argmax())
+            if best[i] > 1e-4:  # nats; less is noise, and the voter stands alone
+                parent[i] = link[i]
+            inside[i] = True
+            self.order.append(i)
+            nearer = shared[i] > best
+            best, link = np.where(nearer, shared[i], best), np.where(nearer, i, link)
+        self.parent = parent
+        #: voter -> class x vote of the parent (one, if none) x vote
+        self.table = [(both[:, p, i] + 4 * alone[:, None, i]) / (both[:, p, i].sum(2, keepdims=True) + 4) if (p := parent[i]) >= 0 else alone[:, None, i] for i in range(v)]
+
+    def _logit(self, kinds: np.ndarray) -> np.ndarray:
+        z = np.full(len(kinds), np.log(self.prior / (1 - self.prior)))
+        for i, t in enumerate(self.table):
+            gain = np.log(t[1]) - np.log(t[0])
+            z += np.einsum("pa,pb,ab->p", kinds[:, self.parent[i]], kinds[:, i], gain) if self.parent[i] >= 0 else kinds[:, i] @ gain[0]
+        return z
 
     def _posterior(self, kinds: np.ndarray) -> np.ndarray:
-        gain = np.log(self.table[1]) - np.log(self.table[0])
-        z = np.einsum("pvk,vk,v->p", kinds, gain, self.weight) + np.log(self.prior / (1 - self.prior))
+        """P(class 1) by pattern, for rows without a label and with label 0 and 1."""
+        r0, r1 = self.right
+        z = self._logit(kinds)[:, None] + [0, np.log((1 - r1) / r0), np.log(r1 / (1 - r0))]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return self._posterior(np.stack([votes == v for v in (-1, 0, 1)], 2).astype("f8"))
+    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """P(class 1) of rows; labels: 0, 1, or -1 for none."""
+        p = self._posterior(self._kinds(votes))
+        return p[np.arange(len(votes)), (labels if labels is not None else np.full(len(votes), -1)) + 1]
 
 
 def logistic(x: list[np.ndarray], y: np.ndarray, n: int, rounds: int = 300, l2: float = 0.1) -> tuple[np.ndarray, float]:
@@ -142,108 +195,178 @@ def training_labels(labels: DataFrame, column: str, mod: int, rest: int) -> Data
 
 def bounded_labels(labels: DataFrame, column: str, mod: int, rest: int, bound: int) -> dict[int, int]:
     """At most `bound` training labels by doc_id, the smallest by a hash of it."""
-    rows = training_labels(labels, column, mod, rest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
-    return {r[0]: int(r[1]) for r in rows}
+    rows = C.hash_sample(training_labels(labels, column, mod, rest), bound, "doc_id").collect()
+    return {r["doc_id"]: int(r["y"]) for r in rows}
+
+
+def with_labels(texts: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """Rows of texts that have one of the n labels; few labels are broadcast, more are joined by id."""
+    return texts.join(F.broadcast(labels) if n <= SMALL_LABELS else labels, "doc_id")
 
 
 def _count_words(batches):
-    counts = {0: Counter(), 1: Counter()}
+    """In how many rows of each label and half (clean, clean, toxic, toxic) every feature occurs."""
+    counts: dict[str, list[int]] = {}
+
+    def out():
+        words = list(counts)
+        for lo in range(0, len(words), 50_000):
+            part = words[lo : lo + 50_000]
+            yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.string()), "n": pa.array([counts[w] for w in part], pa.list_(pa.int64()))})
+        counts.clear()
+
     for b in batches:
-        for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            counts[y].update(words_of(t or ""))
-    words = list(counts[0].keys() | counts[1].keys())
-    for lo in range(0, len(words), 50_000):
-        part = words[lo : lo + 50_000]
-        yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.string()), "clean": pa.array([counts[0][w] for w in part], pa.int64()), "toxic": pa.array([counts[1][w] for w in part], pa.int64())})
+        for y, half, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for w in words_of(t or ""):
+                if (n := counts.get(w)) is None:
+                    n = counts[w] = [0, 0, 0, 0]
+                n[2 * y + half] += 1
+            if len(counts) > 2 * MEMO:
+                yield from out()
+    yield from out()
+
+
+class _Known(dict):
+    """For each word, whether it is looked for itself, and the stems looked for that it continues."""
+
+    def __init__(self, wanted: set[str]):
+        super().__init__()
+        self.words, self.stems = {w for w in wanted if "*" not in w}, {w.rstrip("*") for w in wanted if "*" in w}
+
+    def __missing__(self, w: str) -> tuple:
+        if len(self) >= MEMO:
+            self.clear()
+        got = self[w] = (w in self.words, tuple(w[:k] for k in STEMS if len(w) > k and w[:k] in self.stems))
+        return got
+
+
+_PLAIN = (False, ())
 
 
 class Scorer:
     """What a task needs to score texts."""
 
     def __init__(self, lists: list[frozenset], words: dict[str, int]):
-        self.lists, self.words, self.w, self.b = lists, words, None, 0.0
+        self.lists, self.words, self.w, self.b, self.known = lists, words, None, 0.0, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": None}
+
+    def hits(self, text: str) -> set[str]:
+        """Those features of a text that a list or the vocabulary names; words_of() has them all."""
+        if self.known is None:
+            self.known = _Known(set(self.words).union(*self.lists))
+        found, stems, known = set(), {}, self.known
+        for w, n in Counter(_WORD.findall(text.lower())).items():
+            got = known[w]
+            if got == _PLAIN:
+                continue
+            if got[0]:
+                found.add(w)
+            for s in got[1]:
+                stems[s] = stems.get(s, 0) + n
+        return found | {s + "*" for s, n in stems.items() if n > 1} | {s + "**" for s, n in stems.items() if n > 2}
 
     def features(self, text: str | None) -> tuple[tuple[int, ...], list[int]]:
         t = text or ""
-        words = words_of(t)
-        votes = votes_of(t, words, self.lists)
-        own = [self.words[w] for w in words if w in self.words]
-        base = len(self.words)
-        return votes, sorted(own) + [base + 2 * i + (v > 0) for i, v in enumerate(votes) if v]
+        hits = self.hits(t)
+        votes = votes_of(t, hits, self.lists)
+        return votes, sorted(self.words[w] for w in hits if w in self.words) + [len(self.words) + i for i, v in enumerate(votes) if v]
 
     @property
     def size(self) -> int:
-        return len(self.words) + 2 * len(NAMES)
+        return len(self.words) + len(NAMES)
 
     def score(self, text: str | None) -> float:
         _, x = self.features(text)
         return float(1 / (1 + np.exp(-np.clip(self.w[x].sum() + self.b, -30, 30))))
 
 
-def _features(scorer: Scorer, known: dict[int, int]):
-    """Each row's votes (a byte each, 1 added), and the features of rows of the bounded sample."""
+def _features(scorer: Scorer):
+    """Each row's votes (a byte each) and features."""
 
     def run(batches):
         for b in batches:
             votes, xs = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t in b.column(1).to_pylist():
                 v, x = scorer.features(t)
-                votes.append(bytes(i + 1 for i in v))
-                xs.append(x if d in known else None)
+                votes.append(bytes(v))
+                xs.append(x)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "votes": pa.array(votes, pa.binary()), "x": pa.array(xs, pa.list_(pa.int32()))})
 
     return run
 
 
-def _voted(b: bytes) -> tuple[int, ...]:
-    return tuple(i - 1 for i in b)
+def calibration(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, offset) of a logistic line through logits of rows with labels, either class weighing as much (Platt)."""
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    if not n1 or not n0:
+        return 1.0, 0.0
+    want = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * logit + b, -30, 30)))
+        g, h = weight * (p - want), weight * np.maximum(p * (1 - p), 1e-9)
+        grad = np.array([(g * logit).sum() + 1e-4 * (a - 1), g.sum()])
+        hess = np.array([[(h * logit**2).sum() + 1e-4, (h * logit).sum()], [(h * logit).sum(), h.sum() + 1e-9]])
+        step = np.linalg.solve(hess, grad)
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return (float(a), float(b)) if a > 0 and np.isfinite([a, b]).all() else (1.0, 0.0)
+
+
+def fit(x: list[np.ndarray], post: np.ndarray, labels: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+    """Weights and bias, calibrated on rows with labels (others have -1), each half by a fit on the other."""
+    w, b = logistic(x, post, size)
+    logits, truth = [], []
+    for half in (0, 1):
+        seen, left = [i for i in range(len(x)) if i % 2 != half], [i for i in range(len(x)) if i % 2 == half and labels[i] >= 0]
+        if seen and left:
+            v, c = logistic([x[i] for i in seen], post[seen], size)
+            logits += [v[x[i]].sum() + c for i in left]
+            truth += labels[left].tolist()
+    slope, offset = calibration(np.array(logits), np.array(truth)) if logits else (1.0, 0.0)
+    return slope * w, slope * b + offset
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Scorer:
     C.prepare(docs.sparkSession)
-    every, known = C.materialize(training_labels(labels, "toxic", 5, 0)), bounded_labels(labels, "toxic", 5, 0, bound)
+    every = C.materialize(training_labels(labels, "toxic", 5, 0))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    mined, words = [], {}
-    if known:
-        n, pos = every.agg(F.count("*"), F.sum("y")).first()
-        pos = max(1, pos)
-        neg = max(1, n - pos)
-        counted = texts.join(F.broadcast(every), "doc_id").select("y", "text").mapInArrow(_count_words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        a, b = (F.col("toxic") + 0.1) / pos, (F.col("clean") + 0.1) / neg
-        odds = counted.where(f"clean + toxic >= {SUPPORT}").withColumn("odds", F.log(a / b)).withColumn("gain", F.abs(a - b) / F.sqrt((a + b) / 2))
-        top = odds.where("odds > 1.5").orderBy(F.desc("gain"), "word").limit(8 * MINED).collect()
-        mined = families([r["word"] for r in top if (r["toxic"] - r["clean"] * pos / neg) > 3 * np.sqrt(r["clean"] * pos / neg + 1)])[:MINED]
-        words = {r["word"]: i for i, r in enumerate(odds.orderBy(F.desc("gain"), "word").limit(WORDS).collect())}
-    lists = [frozenset(x.split()) for x in LISTS.values()] + [frozenset(mined[i::_GROUPS]) for i in range(_GROUPS)]
+    rows = {(r["y"], r["half"]): r["n"] for r in every.groupBy("y", half.alias("half")).agg(F.count("*").alias("n")).collect()}
+    n_labels, mined, words = sum(rows.values()), [], {}
+    if n_labels:
+        counted = with_labels(texts, every, n_labels).select("y", half, "text").mapInArrow(_count_words, "word string, n array<long>")
+        counted = C.materialize(counted.groupBy("word").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(4)]).where(f"n0 + n1 + n2 + n3 >= {SUPPORT}"))
+        total = [max(1, rows.get((i // 2, i % 2), 0)) for i in range(4)]
+        neg, pos = total[0] + total[1], total[2] + total[3]
+        a, b = (F.expr("n2 + n3") + 0.1) / pos, (F.expr("n0 + n1") + 0.1) / neg
+        told = counted.withColumn("odds", F.log(a / b)).withColumn("gain", F.abs(a - b) / F.sqrt((a + b) / 2))
+        halves = [F.log((F.col(f"n{2 + h}") + 0.1) / total[2 + h] * total[h] / (F.col(f"n{h}") + 0.1)) for h in (0, 1)]
+        top = told.where((F.col("odds") > 1.5) & (F.least(*halves) > 1)).orderBy(F.desc("gain"), F.desc(F.length("word")), "word").limit(8 * MINED).collect()
+        above = lambda r: (r["n2"] + r["n3"] - (by_chance := (r["n0"] + r["n1"]) * pos / neg)) > 3 * np.sqrt(by_chance + 1)
+        mined = [w for w in families([r["word"] for r in top if above(r)]) if w not in _LISTED][: SINGLES + MINED]
+        words = {r["word"]: i for i, r in enumerate(told.where((F.least(*halves) > 0.5) | (F.greatest(*halves) < -0.5)).orderBy(F.desc("gain"), "word").limit(WORDS).collect())}
+    lists = [frozenset(x.split()) for x in LISTS.values()] + [frozenset(mined[i : i + 1]) for i in range(SINGLES)] + [frozenset(mined[SINGLES:])]
     scorer = Scorer(lists, words)
-    seen = C.materialize(texts.mapInArrow(_features(scorer, known), "doc_id long, votes binary, x array<int>"))
-    labelled = seen.where("doc_id is not null").select("doc_id", "votes").join(every, "doc_id").groupBy("votes", "y").agg(F.count("*").alias("n"))
-    counted = [(_voted(r["votes"]), r["y"], r["n"]) for r in labelled.collect()]  # 3 ^ voters at most
-    whole = {_voted(r["votes"]): r["n"] for r in seen.groupBy("votes").agg(F.count("*").alias("n")).collect()}
-    votes = sorted(whole)
-    at = {v: i for i, v in enumerate(votes)}
-    gold = np.zeros((len(votes), 2))
-    for v, y, n in counted:
-        gold[at[v], y] += n
-    counts = np.array([whole[v] for v in votes], "f8") - gold.sum(1)
+    seen = C.materialize(texts.mapInArrow(_features(scorer), "doc_id long, votes binary, x array<int>"))
+    judged = C.materialize(seen.where("doc_id is not null").join(every, "doc_id", "left").select("doc_id", "votes", "x", F.coalesce("y", F.lit(-1)).alias("y")))
+    gold = {(tuple(r["votes"]), r["y"]): r["n"] for r in judged.groupBy("votes", "y").agg(F.count("*").alias("n")).collect()}  # 3 x 2 ^ voters at most
+    votes = sorted({v for v, _ in gold})
     scorer.w = np.zeros(scorer.size)
     if not votes:
         scorer.b = float(np.log(PRIOR / (1 - PRIOR)))
         return scorer
-    model = LabelModel().fit(np.array(votes), counts, gold)
-    rows = [{"votes": _voted(r["votes"]), "y": known[r["doc_id"]], "x": r["x"]} for r in seen.where("x is not null").limit(2 * bound).collect()]  # one for each label
-    if rows:
-        rows.sort(key=lambda r: (r["x"], r["votes"], r["y"]))
-        post = model.posterior(np.array([r["votes"] for r in rows]))
-        y = np.array([r["y"] for r in rows])
-        x = [np.array(r["x"], "i8") for r in rows]
-    else:
-        x = [np.array(scorer.features(" ".join(k for i, k in enumerate(NAMES) if v[i]))[1][:0] + [len(words) + 2 * i + (s > 0) for i, s in enumerate(v) if s], "i8") for v in votes]
-        post = model.posterior(np.array(votes))
-    if rows:  # the label of a training row is one more voter, right in GOLD of all cases
-        odds = post / (1 - post) * np.where(y == 1, GOLD / (1 - GOLD), (1 - GOLD) / GOLD)
-        post = odds / (1 + odds)
-    scorer.w, scorer.b = logistic(x, post, scorer.size)
+    n = np.array([[gold.get((v, y), 0) for y in (-1, 0, 1)] for v in votes], "f8")
+    model = LabelModel().fit(np.array(votes), n[:, 0], n[:, 1:])
+    rows = [r for y in ("y >= 0", "y < 0") for r in C.hash_sample(judged.where(y), bound, "doc_id", "votes", "x", "y").collect()]
+    y = np.array([r["y"] for r in rows])
+    post = model.posterior(np.array([tuple(r["votes"]) for r in rows]), y)
+    scorer.w, scorer.b = fit([np.array(r["x"], "i8") for r in rows], post, y, scorer.size)
     return scorer
 
 
