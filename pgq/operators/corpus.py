@@ -44,12 +44,11 @@ def paths(spark: SparkSession, triples: Sequence[tuple[str, str, str]], depth: i
     return out
 
 
-def combinations(candidates: DataFrame, group: str, key: str, most: int, cap: int | None = None, seed: int = 0) -> DataFrame:
-    """Sets of 1 to `most` candidates of a group, as sorted arrays of keys.  The cap (by hash order) comes before sets grow."""
-    base = candidates.select(group, key).distinct()
-    if cap:
-        w = Window.partitionBy(group).orderBy(rank_hash(seed, group, key), key)
-        base = base.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+def combinations(candidates: DataFrame, group: str, key: str, most: int, cap: int, seed: int = 0) -> DataFrame:
+    """Sets of 1 to `most` candidates of a group, as sorted arrays of keys.  A group gives `cap` candidates at most (by hash
+    order), before sets grow, so a group makes fewer than (cap + 1) ^ most sets."""
+    w = Window.partitionBy(group).orderBy(rank_hash(seed, group, key), key)
+    base = candidates.select(group, key).distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
     now = base.select(group, F.array(key).alias("set"))
     out = now
     for _ in range(most - 1):
@@ -71,18 +70,24 @@ def expand_ranking(intents: DataFrame, policy: DataFrame, limits: Sequence[int]
     return both.withColumn("order_by", F.struct(F.col("target").alias("node_label"), "attribute", "direction")).drop("attribute", "direction")
 
 
-def with_mandatory(intents: DataFrame, label: str, attribute: str, operator: str, value: str) -> DataFrame:
+def with_mandatory(intents: DataFrame, label: str, attribute: str, operator: str, value: str | Column) -> DataFrame:
     """Filters on a label always come with one on a certain attribute."""
     needs = F.exists("filters", lambda f: f["node_label"] == label) & ~F.exists("filters", lambda f: (f["node_label"] == label) & (f["attribute"] == attribute))
-    more = F.array(F.struct(F.lit(label).alias("node_label"), F.lit(attribute).alias("attribute"), F.lit(operator).alias("operator"), F.lit(value).alias("value")))
+    more = F.array(F.struct(F.lit(label).alias("node_label"), F.lit(attribute).alias("attribute"), F.lit(operator).alias("operator"), (value if isinstance(value, Column) else F.lit(value)).alias("value")))
     return intents.withColumn("filters", F.when(needs, F.concat("filters", more)).otherwise(F.col("filters")))
 
 
-def compatible(filters: str = "filters") -> Column:
-    """No attribute has a lower bound above an upper one."""
-    bound = lambda ops, f: F.filter(filters, lambda x: (x["attribute"] == f["attribute"]) & x["operator"].isin(*ops))
-    num = lambda fs: F.transform(fs, lambda x: x["value"].try_cast("double"))
-    return ~F.exists(filters, lambda f: F.coalesce(F.array_max(num(bound((">", ">="), f))) > F.array_min(num(bound(("<", "<="), f))), F.lit(False)))
+def compatible(filters: str = "filters", by_label: bool = False, typed: bool = False, numeric: Sequence[str] | None = None) -> Column:
+    """No attribute has a lower bound above an upper one.
+
+    Generated filters are compared by attribute alone, whatever their label (of the attributes in `numeric`, if given);
+    by_label: bounds of one node only, as in the checks before a plan is made.  typed: values in value_int and value_float."""
+    own = lambda x: F.coalesce(x["value_float"], x["value_int"].cast("double")) if typed else x["value"].try_cast("double")
+    label = lambda x: F.coalesce(F.when(x["node_label"] != "", x["node_label"]), F.col("target"))
+    same = lambda x, f: (x["attribute"] == f["attribute"]) & (label(x).eqNullSafe(label(f)) if by_label else F.lit(True))
+    bound = lambda ops, f: F.transform(F.filter(filters, lambda x: same(x, f) & x["operator"].isin(*ops)), own)
+    counts = lambda f: f["attribute"].isin(*numeric) if numeric is not None else F.lit(True)
+    return ~F.exists(filters, lambda f: counts(f) & F.coalesce(F.array_max(bound((">", ">="), f)) > F.array_min(bound(("<", "<="), f)), F.lit(False)))
 
 
 def dedup_structures(intents: DataFrame) -> DataFrame:
@@ -91,31 +96,6 @@ def dedup_structures(intents: DataFrame) -> DataFrame:
     return intents.withColumn("_k", F.sha2(body, 256)).groupBy("_k").agg(F.min_by(F.struct(*intents.columns), "id").alias("x")).select("x.*")
 
 
-# -- checks -------------------------------------------------------------------------------------------------------------
-
-
-def reason(attributes: dict[str, dict[str, str]], triples: Sequence[tuple[str, str, str]]) -> Column:
-    """The first reason to reject a row, or null, as one expression."""
-    known = F.create_map(*[x for l, a in attributes.items() for x in (F.lit(l), F.array(*map(F.lit, a)))])
-    numeric = F.create_map(*[x for l, a in attributes.items() for x in (F.lit(l), F.array(*[F.lit(k) for k, t in a.items() if t in ("int", "float")]).cast("array<string>"))])
-    legal = F.array(*[F.lit("|".join(t)) for t in triples])
-    has = lambda m, label, attr: F.coalesce(F.array_contains(F.try_element_at(m, label), attr), F.lit(False))
-    rank, simple = F.col("regime").contains("ranking"), F.col("regime").startswith("simple")
-    target, g, o = F.col("target"), F.col("aggregate"), F.col("order_by")
-    needs = F.col("regime").contains("count") | F.col("regime").contains("aggregation")
-    bad_agg = F.when(needs, g["function"].isNull() | (g["function"] == "count") & g["attribute"].isNotNull() | (g["function"] != "count") & ~has(numeric, target, g["attribute"])).otherwise(g["function"].isNotNull())
-    return F.coalesce(
-        F.when(~F.try_element_at(known, target).isNotNull(), "target"),
-        F.when(F.exists("return_attributes", lambda a: ~has(known, target, a)), "return_attributes"),
-        F.when(F.exists("filters", lambda f: ~has(known, F.coalesce(f["node_label"], target), f["attribute"])) | ~compatible(), "filters"),
-        F.when(rank & o["attribute"].isNull() | o["attribute"].isNotNull() & ~has(known, target, o["attribute"]), "order_by"),
-        F.when(rank & F.col("limit").isNull() | (F.col("limit") <= 0), "limit"),
-        F.when((F.size("path") > 3) | F.exists("path", lambda p: ~F.array_contains(legal, F.concat_ws("|", p["src"], p["rel"], p["dst"]))), "path"),
-        F.when(bad_agg, "aggregate"),
-        F.when(simple & (F.size("path") > 0) | ~simple & (F.size("path") == 0), "regime_path"),
-    )
-
-
 # -- curation -----------------------------------------------------------------------------------------------------------
 
 
@@ -159,8 +139,7 @@ def split(df: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """Add `part`: a row is in train if it is the first, in hash order, with one of its features; then rows move from the
     front of the rest, or from the back of train, until train has int(n * ratio) rows."""
     ranked = df.withColumn("_h", rank_hash(seed, "id"))
-    f = features(df).join(ranked.select("id", "_h"), "id")
-    first = f.groupBy("feature").agg(F.min_by("id", F.struct("_h", "id")).alias("id")).select("id").distinct().withColumn("_first", F.lit(1))
+    first = features(df).groupBy("feature").agg(F.min(F.struct(rank_hash(seed, "id").alias("h"), "id"))["id"].alias("id")).select("id").distinct().withColumn("_first", F.lit(1))
     both = ranked.join(first, "id", "left").withColumn("_first", F.coalesce("_first", F.lit(0)))
     total = df.agg(F.count("*").alias("_n")).withColumn("_goal", F.floor(F.col("_n") * ratio).cast("long"))
     # global ranks in two levels: ranges of the hash are counted before rows are ranked inside them
@@ -212,38 +191,45 @@ def node_coverage(df: DataFrame) -> DataFrame:
     return nodes.groupBy("label").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("label", "n", F.round(F.col("n") / F.col("total"), 3).alias("rate"))
 
 
-# -- evaluation ---------------------------------------------------------------------------------------------------------
-
-
-def leaves(df: DataFrame, side: str) -> DataFrame:
-    """(id, path, kind, value) of each scalar of a row; lists of filters are sorted first."""
-    j = lambda *p: F.array(*[F.struct(F.lit(a).alias("path"), F.lit(k).alias("kind"), v.cast("string").alias("value")) for a, k, v in p])
-    fs = F.array_sort("filters")
-    per = F.flatten(F.transform(F.sequence(F.lit(0), F.size("filters") - 1), lambda i: F.transform(
-        F.array(*[F.struct(F.lit(n).alias("n"), F.get(fs, i)[n].alias("v")) for n in ("node_label", "attribute", "operator", "value")]),
-        lambda x: F.struct(F.concat(F.lit("filters["), i.cast("string"), F.lit("]."), x["n"]).alias("path"), F.lit("str").alias("kind"), x["v"].alias("value")))))
-    rets = F.array_sort("return_attributes")
-    ret = F.transform(F.sequence(F.lit(0), F.size("return_attributes") - 1), lambda i: F.struct(F.concat(F.lit("return_attributes["), i.cast("string"), F.lit("]")).alias("path"), F.lit("str").alias("kind"), F.get(rets, i).alias("value")))
-    none = F.array().cast("array<struct<path:string,kind:string,value:string>>")
-    flat = F.concat(
-        j(("target.label", "str", F.col("target")), ("limit", "int", F.col("limit"))),
-        F.when(F.col("aggregate").isNotNull(), j(("aggregate.function", "str", F.col("aggregate.function")), ("aggregate.attribute", "str", F.col("aggregate.attribute")))).otherwise(none),
-        F.when(F.col("order_by").isNotNull(), j(("order_by.attribute", "str", F.col("order_by.attribute")), ("order_by.direction", "str", F.col("order_by.direction")))).otherwise(none),
-        F.when(F.size("filters") > 0, per).otherwise(none), F.when(F.size("return_attributes") > 0, ret).otherwise(none),
-    )
-    return df.select("id", F.explode(flat).alias("x")).select("id", "x.path", F.col("x.kind").alias(f"{side}_kind"), F.coalesce("x.value", F.lit("null")).alias(f"{side}_value"))
+def top_paths(df: DataFrame, k: int = 5) -> DataFrame:
+    """The k paths with most intents."""
+    return counted(df, path_text(), "path").orderBy(F.desc("n"), "path").limit(k)
+
+
+def rates(counts: DataFrame, total: DataFrame) -> DataFrame:
+    """counts with rate: n by the one number of `total`, to three places."""
+    return counts.crossJoin(F.broadcast(total.toDF("_total"))).withColumn("rate", F.round(F.col("n") / F.col("_total"), 3)).drop("_total")
+
+
+def coverage_report(df: DataFrame) -> dict:
+    """All counts and rates of a corpus as one dict, for a JSON file; what it gathers has a row for each label or path
+    of a catalog, never for each intent."""
+    total = df.agg(F.count("*").alias("n"))
+    n = total.first()[0]
+    by = lambda d, k: {str(r[k]): r["n"] for r in d.orderBy(F.desc("n"), k).limit(10_000).collect()}
+    path, target = counted(df, path_text(), "path"), counted(df, F.col("target"), "target")
+    targets = by(target, "target")
+    return {
+        "total_intents": n, "unique_paths": path.count(), "top_paths": [[r["path"], r["n"]] for r in top_paths(df).collect()], "start_nodes": targets,
+        "node_coverage": {r["label"]: r["rate"] for r in node_coverage(df).collect()}, "relationship_usage": by(counted(df.select(F.explode("path").alias("p")), F.col("p.rel"), "rel"), "rel"),
+        "depth_distribution": by(counted(df, F.size("path"), "depth"), "depth"), "unique_targets": len(targets), "target_distribution": targets,
+        "target_rate": {r["target"]: r["rate"] for r in rates(target, total).collect()}, "path_entropy": entropy(path).first()[0], "target_entropy": entropy(target).first()[0],
+    }
 
 
-def diff(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Leaves of both sides beside each other; a side without one has `<missing>`."""
-    both = leaves(gold, "gold").join(leaves(predicted, "pred"), ["id", "path"], "full_outer")
-    return both.select("id", "path", F.coalesce("gold_value", F.lit("<missing>")).alias("expected"), F.coalesce("pred_value", F.lit("<missing>")).alias("predicted"), F.coalesce((F.col("gold_value") == F.col("pred_value")) & (F.col("gold_kind") == F.col("pred_kind")), F.lit(False)).alias("same"))
+def rejections(reasoned: DataFrame) -> DataFrame:
+    """n by regime and reason; rows without a reason are kept, and not counted."""
+    return reasoned.where("reason is not null").groupBy("regime", "reason").agg(F.count("*").alias("n"))
 
 
-def by_component(d: DataFrame) -> DataFrame:
-    part = F.regexp_replace("path", r"\[\d+\]", "")
-    return d.groupBy(part.alias("component")).agg(F.count("*").alias("total"), F.count_if("same").alias("correct")).withColumn("accuracy", F.round(F.lit(100.0) * F.col("correct") / F.col("total"), 2))
+def for_augmentation(df: DataFrame) -> DataFrame:
+    """Aggregations without filters: the rows that get more questions."""
+    return df.where("regime in ('simple_aggregation_query', 'relational_aggregation_query') and size(filters) = 0")
 
 
-def errors(d: DataFrame, k: int = 20) -> DataFrame:
-    return d.where("not same").groupBy("path", "expected", "predicted").count().withColumnRenamed("count", "n").orderBy(F.desc("n"), "path", "expected", "predicted").limit(k)
+def covered(df: DataFrame) -> DataFrame:
+    """A split whose train part has every feature, or ValueError that names some that it lacks."""
+    lacks = missing(df).orderBy("feature").limit(10).collect()
+    if lacks:
+        raise ValueError(f"train lacks {', '.join(r[0] for r in lacks)}")
+    return df

@@ -53,8 +53,11 @@ def typed(v: Column) -> Column:
 
 
 def _filter(f: Column) -> Column:
-    v = typed(F.coalesce(*[F.when(~_is(x, "VOID"), x) for x in (_get(f, f"$.{k}") for k in (*VALUES, "value"))]))
-    return F.struct(_first(f, "$.node_label").alias("node_label"), _first(f, "$.attribute").alias("attribute"), _first(f, "$.operator").alias("operator"), *[v[k].alias(k) for k in VALUES])
+    """Every value that a filter gives, in the field of its own type; `value` counts if it gives no other."""
+    given = [F.when(~_is(x, "VOID"), x) for x in (_get(f, f"$.{k}") for k in VALUES)]
+    plain = F.when(F.coalesce(*given).isNull(), _get(f, "$.value"))
+    each = [typed(x) for x in (*given, plain)]
+    return F.struct(_first(f, "$.node_label").alias("node_label"), _first(f, "$.attribute").alias("attribute"), _first(f, "$.operator").alias("operator"), *[F.coalesce(*[v[k] for v in each]).alias(k) for k in VALUES])
 
 
 def _step(s: Column) -> Column:

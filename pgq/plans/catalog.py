@@ -11,13 +11,26 @@ class Label:
     table: str
     properties: dict[str, str]
     key: tuple[str, ...] = ()
+    #: property -> column, where they differ; a property without a column of the table can't be used
+    columns: dict[str, str] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Edge:
+    """A relationship kept in a table of its own: (node column, edge column) pairs at its start and at its end.  `key` tells
+    one relationship from another (all columns, if none)."""
+
+    table: str
+    start: tuple[tuple[str, str], ...]
+    end: tuple[tuple[str, str], ...]
+    key: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
 class Catalog:
     labels: dict[str, Label]
-    #: (start, relationship, end) -> [(start column, end column)]
-    patterns: dict[tuple[str, str, str], list[tuple[str, str]]] = field(default_factory=dict)
+    #: (start, relationship, end) -> [(start column, end column)], an Edge, or [] where nothing says how to join
+    patterns: dict[tuple[str, str, str], list[tuple[str, str]] | Edge] = field(default_factory=dict)
 
     def outgoing(self, label: str) -> list[tuple[str, str]]:
         return sorted((r, e) for s, r, e in self.patterns if s == label)
@@ -26,16 +39,34 @@ class Catalog:
         return self.labels[label].properties
 
 
-def load(path: str) -> Catalog:
-    """Read either shape of schema file: typed properties with pattern triples, or property lists with pattern objects."""
+def _pairs(x) -> tuple[tuple[str, str], ...]:
+    return tuple((a, b) for a, b in x)
+
+
+def load(path: str, mapping: dict | str | None = None) -> Catalog:
+    """Read either shape of schema file: typed properties with pattern triples, or property lists with pattern objects.
+
+    mapping (a dict, or the path of a JSON file) says where the graph is kept:
+    {"labels": {label: {"table", "key": [..], "columns": {property: column}, "types": {property: type}}},
+     "patterns": [{"start", "relationship", "end", "on": [[start column, end column]]}
+               or {.., "edge": table, "from": [[node column, edge column]], "to": [[node column, edge column]], "key": [..]}]}.
+    Without one, a label's table is its name in lower case, and no pattern can be traversed."""
     with open(path, encoding="utf-8") as f:
         raw = json.load(f)
+    if isinstance(mapping, str):
+        with open(mapping, encoding="utf-8") as f:
+            mapping = json.load(f)
+    own, joins = (mapping or {}).get("labels", {}), {}
+    for m in (mapping or {}).get("patterns", []):
+        to = Edge(m["edge"], _pairs(m["from"]), _pairs(m["to"]), tuple(m.get("key", ()))) if "edge" in m else list(_pairs(m["on"]))
+        joins[m["start"], m["relationship"], m["end"]] = to
     labels = {}
     for name, spec in raw.get("nodes", {}).items():
-        props = spec.get("properties", {})
-        labels[name] = Label(name.lower(), dict(props) if isinstance(props, dict) else dict.fromkeys(props, "string"))
+        props, at = spec.get("properties", {}), own.get(name, {})
+        typed = dict(props) if isinstance(props, dict) else dict.fromkeys(props, "string")
+        labels[name] = Label(at.get("table", name.lower()), typed | at.get("types", {}), tuple(at.get("key", ())), dict(at.get("columns", {})))
     triples = [tuple(p) for p in raw.get("patterns", [])] + [(p["start"], p["relationship"], p["end"]) for p in raw.get("allowed_patterns", [])]
-    return Catalog(labels, {t: [] for t in triples})
+    return Catalog(labels, {t: joins.get(t, []) for t in triples})
 
 
 DRIVER = Catalog(

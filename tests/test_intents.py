@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pgq.operators import corpus as K
+from pgq.operators import evaluation as E
 from pgq.operators.planner import plan
 from pgq.plans import intent as I
 from pgq.plans.catalog import DRIVER, Catalog, Label, load
@@ -135,10 +136,11 @@ def test_split_is_the_greedy_one(spark, ratio):
 
 def test_evaluation_of_itself_is_perfect(spark):
     d = rows(spark, [one(1, filters=[("a", "=", "1"), ("b", "<", "2")]), one(2)])
-    assert K.diff(d, d).where("not same").count() == 0
-    other = d.withColumn("filters", F.reverse("filters"))
-    assert K.diff(d, other).where("not same").count() == 0  # order of filters does not count
-    assert {(r.path, r.predicted) for r in K.diff(d, d.withColumn("filters", F.slice("filters", 1, 1))).where("not same").collect()} >= {("filters[1].attribute", "<missing>")}
+    against = lambda other: E.judged(E.beside(d, other))
+    assert E.exact_match(against(d)).first()[:] == (2, 2, 100.0)
+    assert E.errors(against(d.withColumn("filters", F.reverse("filters")))).count() == 0  # order of filters does not count
+    assert [tuple(r) for r in E.errors(against(d.withColumn("filters", F.slice("filters", 1, 1)))).collect()] == [(1, "filters", "2", "1")]
+    assert E.report(against(d).withColumn("regime", F.lit("a")).withColumn("predicted_regime", F.lit("a")))["field_accuracy"] == 100.0
 
 
 def test_stream_of_intents(spark, tmp_path):
