@@ -39,7 +39,7 @@ from . import common as C
 
 SAMPLE, SUPPORT, MINED, WORDS, PRIOR, SINGLES, MEMO = 20_000, 4, 64, 2000, 0.1, 6, 300_000
 STEMS = range(3, 9)
-SMALL_LABELS = 2_000_000  # labels of 12 bytes that are broadcast to the documents; more are joined by id
+SMALL_LABELS = 500_000  # labels of 12 bytes that are broadcast to the documents; more are joined by id
 LISTS = {
     "en": "idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless clown disgusting filthy vermin hate kill jerk fool imbecile garbage freak ugly creep bastard bitch shit fuck fucking asshole crap bullshit",
     "de": "idiot idioten dumm dummkopf trottel depp arschloch scheiße scheisse abschaum versager hure wichser müll ekelhaft hass blödmann",
