@@ -1,13 +1,15 @@
 """Quality classifier: random-indexing word vectors pooled by document, a two-layer network, calibrated probabilities.
 
-Each word (hashed to `ROWS` rows) has a sparse random index vector; its word vector is the sum of the index vectors of its
-neighbours over the whole corpus.  Tasks send their sums in slices that are added up on the executors, so what reaches the
-driver has a fixed size (`ROWS` x `DIMS`).  The network is fitted on a bounded sample (`SAMPLE` labelled training rows, the
-smallest by a hash of their id), and a temperature on a part that the fit has not seen.
-
-Inputs of a score are taken from the text alone.  Defined results: null and empty texts get the score of a text without
-words; repeated rows are scored each; a row without doc_id is never held out and never learned from; without labels of
-both classes every score is the share of label 1 (0.5 without any); an empty table gives no rows.
+Each token (a word, a sign or a run of line breaks, hashed to `ROWS` rows) has a sparse random index vector; its word vector
+is the sum of the index vectors of its neighbours over the whole corpus.  Tasks send their sums in slices that are added up
+on the executors, so what reaches the driver has a fixed size (`ROWS` x `DIMS`).  A document is pooled as the mean and the
+spread of its word vectors and the mean product of vectors that follow each other, which is what repetition shows in;
+nothing else about it is an input.  The network is fitted on a bounded sample (`SAMPLE` labelled training rows, the smallest
+by a hash of their id), and a temperature on a part that the fit has not seen.
+
+Defined results: null and empty texts get the score of a text without words; whole texts are read, however long, a slice of
+`SLICE` tokens at a time; repeated rows are scored each; a row without doc_id is never held out and never learned from;
+without labels of both classes every score is the share of label 1 (0.5 without any); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,16 +25,15 @@ from pyspark.sql import functions as F
 from . import common as C
 from .toxicity import bounded_labels
 
-ROWS, DIMS, NEAR, SAMPLE, HIDDEN, SLICES = 4096, 16, 2, 20_000, 32, 8
-_TOKEN = re.compile(r"\w+|[^\w\s]+")
+ROWS, DIMS, NEAR, SAMPLE, HIDDEN, SLICES, SLICE = 4096, 24, 2, 20_000, 32, 8, 8192
+_TOKEN = re.compile(r"\w+|[^\w\s]|\n+")
 _rng = np.random.default_rng(11)
 _SPOT = np.stack([_rng.permutation(DIMS)[:2] for _ in range(ROWS)])
 _SIGN = _rng.choice([-1.0, 1.0], size=(ROWS, 2))
-_UPPER = np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)
 
 
 class _Rows(dict):
-    """Row of a token: its lower-case form, apart from that of tokens all in capitals, and signs by kind and run length."""
+    """Row of a token: its lower-case form, apart from that of tokens all in capitals; line breaks by how many follow."""
 
     def __missing__(self, t: str) -> int:
         key = t.lower() + ("\x00" if len(t) > 1 and t.isupper() else "")
@@ -99,18 +100,17 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of a document's word vectors, and what its tokens look like."""
-    t = text or ""
-    rows = rows_of(t)
-    n = len(rows)
+    """Mean and spread of a document's word vectors, and the mean product of each with the next."""
+    rows = rows_of(text)
+    n, total = len(rows), np.zeros((3, DIMS))
     if not n:
-        return np.zeros(2 * DIMS + 7, "f4")
-    v = vectors[rows]
-    chars = max(1, len(t))
-    signs = sum(map(t.count, "#$%&*|!"))
-    upper = np.count_nonzero(_UPPER[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")])
-    look = [np.log1p(n), chars / n / 10, 10 * signs / chars, upper / chars, len(np.unique(rows)) / min(n, ROWS), np.log1p(t.count("\n")) / 5, 1.0]
-    return np.concatenate([v.mean(0), v.std(0), np.array(look, "f4")]).astype("f4")
+        return total.ravel().astype("f4")
+    for lo in range(0, n, SLICE):
+        v = vectors[rows[lo : lo + SLICE + 1]]  # one more: it follows the last
+        own = v[:SLICE]
+        total += own.sum(0, dtype="f8"), np.einsum("ij,ij->j", own, own), np.einsum("ij,ij->j", v[:-1], v[1:])
+    mean, square, after = total[0] / n, total[1] / n, total[2] / max(1, n - 1)
+    return np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), after]).astype("f4")
 
 
 class Network:
@@ -154,12 +154,10 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
 
 
-def _sampled(known: dict[int, int], vectors: np.ndarray):
+def _sampled(vectors: np.ndarray):
     def run(batches):
         for b in batches:
-            got = [(d, pooled(t, vectors).tolist()) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if d in known]
-            if got:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in got], pa.int64()), "x": pa.array([x for _, x in got], pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "y": b.column(1), "x": pa.array([pooled(t, vectors).tolist() for t in b.column(2).to_pylist()], pa.list_(pa.float32()))})
 
     return run
 
@@ -167,9 +165,13 @@ def _sampled(known: dict[int, int], vectors: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, Network]:
     vectors = word_vectors(docs)
     known = bounded_labels(labels, "quality", 3, 1, bound)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(_sampled(known, vectors), "doc_id long, x array<float>").limit(2 * bound).collect() if known else []
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    y = np.array([known[r["doc_id"]] for r in rows], "f8")
+    rows = []
+    if known:  # `bound` labels at most are broadcast
+        few = F.broadcast(docs.sparkSession.createDataFrame(list(known.items()), "doc_id long, y int"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("doc_id", "y", "text")
+        done = C.materialize(texts.mapInArrow(_sampled(vectors), "doc_id long, y int, x array<float>"))
+        rows = C.hash_sample(done, 2 * bound, "doc_id", "x").collect()  # ids that repeat come by their hash, not by chance
+    y = np.array([r["y"] for r in rows], "f8")
     net = Network(float(y.mean()) if len(y) else 0.5)
     return vectors, net.fit(np.array([r["x"] for r in rows]), y) if len(set(y)) == 2 else net
 
@@ -177,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.n
 def _score(vectors: np.ndarray, net: Network):
     def run(batches):
         for b in batches:
-            x = np.stack([pooled(t, vectors) for t in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, 2 * DIMS + 7))
+            x = np.stack([pooled(t, vectors) for t in b.column(1).to_pylist()]) if b.num_rows else np.zeros((0, 3 * DIMS))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(net.predict(x).astype("f8"))})
 
     return run
