@@ -106,9 +106,9 @@ def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
     if not n:
         return total.ravel().astype("f4")
     for lo in range(0, n, SLICE):
-        v = vectors[rows[lo : lo + SLICE + 1]]  # one more: it follows the last
+        v = vectors[rows[lo : lo + SLICE + 1]].astype("f8")  # one more: it follows the last
         own = v[:SLICE]
-        total += own.sum(0, dtype="f8"), np.einsum("ij,ij->j", own, own), np.einsum("ij,ij->j", v[:-1], v[1:])
+        total += own.sum(0), np.einsum("ij,ij->j", own, own), np.einsum("ij,ij->j", v[:-1], v[1:])
     mean, square, after = total[0] / n, total[1] / n, total[2] / max(1, n - 1)
     return np.concatenate([mean, np.sqrt(np.maximum(square - mean**2, 0)), after]).astype("f4")
 
