@@ -3,11 +3,18 @@
 Words are hashed; pairs of words are the inner strings.  A run of five words is kept if the smallest of its four pairs is
 the first or the last: a choice that depends on the five words alone, so equal passages yield equal anchors wherever they
 stand.  The fingerprint is the list of all runs kept, in the order of the text: eight hexadecimal digits for the number of
-the run's first word, eight for its 32-bit hash.  Likeness is the exact Jaccard index of the sets of hashes.
+the run's first word, eight for its 32-bit hash.  Likeness is the exact Jaccard index of the sets of hashes.  Places are
+matched as well: `offset_of` finds by how many words most shared anchors are shifted, and `aligned` the share of all anchors
+that meet at that shift, so a passage in the same order counts and words strewn about do not.
+
+The next document is found in ranges of rows.  A sample of at most `SAMPLED` keys a range, by a hash, sets the bounds, so
+sparse or clustered ids, ids that repeat and rows without an id fall into ranges of like size, and each range is a task.
 
 Defined results: fewer than five words count as one run; no words (null, empty, white space) give an empty fingerprint,
-which is like an empty one (1.0) and unlike any other (0.0).  Rows are taken in order of doc_id, descending, nulls last,
-then of text; the next of the last row is the first, of a lone row itself.  An empty table gives no rows.
+which is like an empty one (1.0) and unlike any other (0.0).  Rows are taken in order of doc_id, descending, nulls last; rows
+of one id (or without any) by a hash of their text, equal texts in any order; the next of the last row is the first, of a
+lone row itself.  Whole texts are read: a very long one gives an anchor for about every second word.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +26,8 @@ from pyspark.sql.window import Window
 from . import common as C
 
 RUN = 5
-BITS = 12  # 4096 ids make a part: rows whose order is found together
+SAMPLED, LEAST = 64, 256  # keys of a range that are sampled; rows of a range on average, at least
+_KEY = "struct<none:boolean,down:bigint,h:bigint,m:bigint>"
 
 
 def _words(text: Column) -> Column:
@@ -56,23 +64,70 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def matches(a: Column, b: Column) -> Column:
+    """Anchors that two fingerprints share, as array<struct<hash, a, b>> of the places of their first occurrences."""
+    first = lambda x, h: F.shiftrightunsigned(F.array_min(F.filter(x, lambda y: _low(y) == h)), 32)
+    both = F.array_intersect(F.transform(a, _low), F.transform(b, _low))
+    return F.transform(both, lambda h: F.struct(h.alias("hash"), first(a, h).alias("a"), first(b, h).alias("b")))
+
+
+def offset_of(found: Column) -> Column:
+    """By how many words most of the matches are shifted (the smallest of such shifts); null without any."""
+    shifts = F.array_sort(F.transform(found, lambda m: m["b"] - m["a"]))
+    counted = F.transform(F.array_distinct(shifts), lambda d: F.struct(F.size(F.filter(shifts, lambda x: x == d)).alias("n"), (-d).alias("d")))
+    return -F.array_max(counted)["d"]
+
+
+def aligned(a: Column, b: Column, shift: Column | int = 0) -> Column:
+    """Share of all anchors, by place and hash, that meet once the first fingerprint is moved on by `shift` words."""
+    by = (F.lit(shift) if isinstance(shift, int) else shift).cast("long")
+    moved = F.transform(a, lambda x: x + F.shiftleft(by, 32)) if not isinstance(shift, int) or shift else a
+    either = F.size(F.array_union(moved, b))
+    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(moved, b)) / either)
+
+
+def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, key, part: rows in ranges of their key, numbered in order, and how many ranges there are at most."""
+    spark = docs.sparkSession
+    i = F.col("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.struct(i.isNull().alias("none"), F.coalesce(F.bitwise_not(i), F.lit(0).cast("long")).alias("down"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"))
+    rows = rows.withColumn("key", key)
+    n = docs.count()
+    parts = max(1, min(4 * C.partitions(spark), n // LEAST))
+    bounds = []
+    if parts > 1:  # 64 keys a range on average reach the driver
+        near = F.pmod(F.xxhash64("key.none", "key.down", "key.h", "key.m"), F.lit(n)) < SAMPLED * parts
+        seen = sorted(tuple(r) for r in rows.where(near).select("key.*").collect())
+        bounds = sorted({seen[len(seen) * k // parts] for k in range(1, parts)}) if seen else []
+    if not bounds:
+        return rows.withColumn("part", F.lit(0)), 1
+    table = F.array(*[F.struct(*map(F.lit, b)) for b in bounds]).cast(f"array<{_KEY}>")
+    # how many bounds are not above the key, by halving: lo and hi close in on it
+    halve = lambda s, _: F.struct(
+        F.when(F.get(table, s["mid"]) <= F.col("key"), s["mid"] + 1).otherwise(s["lo"]).alias("lo"), F.when(F.get(table, s["mid"]) <= F.col("key"), s["hi"]).otherwise(s["mid"]).alias("hi"),
+    )
+    with_mid = lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("mid"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"), F.lit(len(bounds) // 2).alias("mid"))
+    step = lambda s, x: F.when(s["lo"] < s["hi"], with_mid(halve(s, x))).otherwise(s)
+    found = F.aggregate(F.array(*[F.lit(0)] * len(bounds).bit_length()), start, step)["lo"]
+    return rows.withColumn("part", found), len(bounds) + 1
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sketch, next_text, next_sketch.
 
-    Texts are shuffled once, by ranges of ids.  The last row of a range finds its next one among the first rows of the
-    ranges, of which there is one for up to 2^BITS ids.
+    Texts are shuffled once, by ranges of rows.  The last row of a range finds its next one among the first rows of the
+    ranges, of which there are a few times the shuffle partitions at most.
     """
-    spark = docs.sparkSession
-    part = F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BITS), F.lit(-(2**62)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("part", part)
-    dealt = rows.repartition(C.partitions(spark), "part")
+    rows, parts = _ranges(docs)
+    dealt = rows.repartitionById(parts, F.col("part"))
     held = sketch(dealt, "text", "sketch")
-    order = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
+    order = Window.partitionBy("part").orderBy("key")
     inner = held.withColumn("x", F.lead(F.struct("text", "sketch")).over(order))
-    around = Window.orderBy(F.desc("part"))
-    parts = rows.select("part").distinct()
-    follow = parts.select("part", F.coalesce(F.lead("part").over(around), F.max("part").over(Window.partitionBy())).alias("after"))
     first = dealt.withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    around = Window.orderBy("part")  # a row a range
+    follow = first.select("part", F.coalesce(F.lead("part").over(around), F.min("part").over(Window.partitionBy())).alias("after"))
     heads = sketch(first, "text", "sketch").select(F.col("part").alias("after"), F.struct("text", "sketch").alias("head"))
     whole = inner.join(heads.join(follow, "after").select("part", "head"), "part")
     x = F.coalesce("x", "head")
@@ -80,13 +135,14 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, aligned_edited."""
     d = with_next(docs).withColumn("n_chars", F.length("text").cast("long")).withColumn("k", F.expr("cast(n_chars div 3 as int)"))
     d = d.withColumn("edited", F.expr("concat(substr(text, 1, cast(n_chars as int) - k), substr(next_text, 1, k))"))
     d = sketch(d, "edited", "edited_sketch")
     return d.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_of(F.col("sketch")).alias("fingerprint"), text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        aligned(F.col("sketch"), F.col("edited_sketch")).alias("aligned_edited"),
     )
 
 
