@@ -9,6 +9,7 @@ that meet at that shift, so a passage in the same order counts and words strewn
 
 The next document is found in ranges of rows.  A sample of at most `SAMPLED` keys a range, by a hash, sets the bounds, so
 sparse or clustered ids, ids that repeat and rows without an id fall into ranges of like size, and each range is a task.
+Only rows alike in id and text stay together, whatever their number.
 
 Defined results: fewer than five words count as one run; no words (null, empty, white space) give an empty fingerprint,
 which is like an empty one (1.0) and unlike any other (0.0).  Rows are taken in order of doc_id, descending, nulls last; rows
@@ -27,7 +28,7 @@ from . import common as C
 
 RUN = 5
 SAMPLED, LEAST = 64, 256  # keys of a range that are sampled; rows of a range on average, at least
-_KEY = "struct<none:boolean,down:bigint,h:bigint,m:bigint>"
+_KEY = "struct<none:boolean,down:bigint,h:bigint>"
 
 
 def _words(text: Column) -> Column:
@@ -91,13 +92,13 @@ def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     i = F.col("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.struct(i.isNull().alias("none"), F.coalesce(F.bitwise_not(i), F.lit(0).cast("long")).alias("down"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m"))
+    key = F.struct(i.isNull().alias("none"), F.coalesce(F.bitwise_not(i), F.lit(0).cast("long")).alias("down"), F.xxhash64("text").alias("h"))
     rows = rows.withColumn("key", key)
     n = docs.count()
     parts = max(1, min(4 * C.partitions(spark), n // LEAST))
     bounds = []
     if parts > 1:  # 64 keys a range on average reach the driver
-        near = F.pmod(F.xxhash64("key.none", "key.down", "key.h", "key.m"), F.lit(n)) < SAMPLED * parts
+        near = F.pmod(F.xxhash64("key.none", "key.down", "key.h"), F.lit(n)) < SAMPLED * parts
         seen = sorted(tuple(r) for r in rows.where(near).select("key.*").collect())
         bounds = sorted({seen[len(seen) * k // parts] for k in range(1, parts)}) if seen else []
     if not bounds:
