@@ -87,52 +87,47 @@ def aligned(a: Column, b: Column, shift: Column | int = 0) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(moved, b)) / either)
 
 
-def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, text, key, part: rows in ranges of their key, numbered in order, and how many ranges there are at most."""
+def _ranges(docs: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """doc_id, text, key, part: rows in ranges of their key, numbered in order; and the key that each range starts with,
+    which is one of the rows' own."""
     spark = docs.sparkSession
     i = F.col("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.struct(i.isNull().alias("none"), F.coalesce(F.bitwise_not(i), F.lit(0).cast("long")).alias("down"), F.xxhash64("text").alias("h"))
     rows = rows.withColumn("key", key)
-    n = docs.count()
+    n, least = rows.agg(F.count("*"), F.min("key")).first()
     parts = max(1, min(4 * C.partitions(spark), n // LEAST))
-    bounds = []
-    if parts > 1:  # 64 keys a range on average reach the driver
+    bounds = [tuple(least)] if n else []
+    if parts > 1:  # SAMPLED keys a range on average reach the driver
         near = F.pmod(F.xxhash64("key.none", "key.down", "key.h"), F.lit(n)) < SAMPLED * parts
         seen = sorted(tuple(r) for r in rows.where(near).select("key.*").collect())
-        bounds = sorted({seen[len(seen) * k // parts] for k in range(1, parts)}) if seen else []
-    if not bounds:
-        return rows.withColumn("part", F.lit(0)), 1
-    table = F.array(*[F.struct(*map(F.lit, b)) for b in bounds]).cast(f"array<{_KEY}>")
+        bounds = sorted({*bounds, *(seen[len(seen) * k // parts] for k in range(1, parts) if seen)})
+    if len(bounds) < 2:
+        return rows.withColumn("part", F.lit(0)), bounds
+    table = F.array(*[F.struct(*map(F.lit, b)) for b in bounds[1:]]).cast(f"array<{_KEY}>")
     # how many bounds are not above the key, by halving: lo and hi close in on it
-    halve = lambda s, _: F.struct(
-        F.when(F.get(table, s["mid"]) <= F.col("key"), s["mid"] + 1).otherwise(s["lo"]).alias("lo"), F.when(F.get(table, s["mid"]) <= F.col("key"), s["hi"]).otherwise(s["mid"]).alias("hi"),
-    )
+    above = lambda s: F.get(table, s["mid"]) <= F.col("key")
+    halve = lambda s: F.struct(F.when(above(s), s["mid"] + 1).otherwise(s["lo"]).alias("lo"), F.when(above(s), s["hi"]).otherwise(s["mid"]).alias("hi"))
     with_mid = lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("mid"))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"), F.lit(len(bounds) // 2).alias("mid"))
-    step = lambda s, x: F.when(s["lo"] < s["hi"], with_mid(halve(s, x))).otherwise(s)
-    found = F.aggregate(F.array(*[F.lit(0)] * len(bounds).bit_length()), start, step)["lo"]
-    return rows.withColumn("part", found), len(bounds) + 1
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds) - 1).alias("hi"), F.lit((len(bounds) - 1) // 2).alias("mid"))
+    step = lambda s, _: F.when(s["lo"] < s["hi"], with_mid(halve(s))).otherwise(s)
+    return rows.withColumn("part", F.aggregate(F.array(*[F.lit(0)] * len(bounds).bit_length()), start, step)["lo"]), bounds
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sketch, next_text, next_sketch.
 
-    Texts are shuffled once, by ranges of rows.  The last row of a range finds its next one among the first rows of the
-    ranges, of which there are a few times the shuffle partitions at most.
+    Texts are shuffled once, by ranges of rows.  The last row of a range has the first one of the next range as its next:
+    these rows, a few times the shuffle partitions at most, are found by their keys in a scan of their own.
     """
-    rows, parts = _ranges(docs)
-    dealt = rows.repartitionById(parts, F.col("part"))
-    held = sketch(dealt, "text", "sketch")
-    order = Window.partitionBy("part").orderBy("key")
-    inner = held.withColumn("x", F.lead(F.struct("text", "sketch")).over(order))
-    first = dealt.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    around = Window.orderBy("part")  # a row a range
-    follow = first.select("part", F.coalesce(F.lead("part").over(around), F.min("part").over(Window.partitionBy())).alias("after"))
-    heads = sketch(first, "text", "sketch").select(F.col("part").alias("after"), F.struct("text", "sketch").alias("head"))
-    whole = inner.join(heads.join(follow, "after").select("part", "head"), "part")
+    rows, bounds = _ranges(docs)
+    held = sketch(rows.repartitionById(max(1, len(bounds)), F.col("part")), "text", "sketch")
+    inner = held.withColumn("x", F.lead(F.struct("text", "sketch")).over(Window.partitionBy("part").orderBy("key")))
+    starts = docs.sparkSession.createDataFrame([((k - 1) % len(bounds), b) for k, b in enumerate(bounds)], f"before int, start {_KEY}")
+    first = rows.select("key", "text").join(F.broadcast(starts), F.col("key") == F.col("start")).groupBy("before").agg(F.min("text").alias("text"))
+    heads = sketch(first, "text", "sketch").select(F.col("before").alias("part"), F.struct("text", "sketch").alias("head"))
     x = F.coalesce("x", "head")
-    return whole.select("doc_id", "text", "sketch", x["text"].alias("next_text"), x["sketch"].alias("next_sketch"))
+    return inner.join(heads, "part").select("doc_id", "text", "sketch", x["text"].alias("next_text"), x["sketch"].alias("next_sketch"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

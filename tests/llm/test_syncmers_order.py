@@ -33,9 +33,9 @@ def test_every_row_meets_its_next(spark, monkeypatch, kind):
         down = sorted(rows, reverse=True)
         want = {i: t for (i, _), (_, t) in zip(down, down[1:] + down[:1], strict=True)}
         assert {r.doc_id: r.next_text for r in got} == want
-    parts, most = syncmers._ranges(docs)
+    parts, bounds = syncmers._ranges(docs)
     sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
-    assert most > 4 and max(sizes) < n / 4
+    assert len(bounds) > 4 and len(sizes) == len(bounds) and max(sizes) < n / 4
 
 
 def test_lone_rows_follow_themselves(spark):
