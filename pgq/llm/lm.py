@@ -13,7 +13,7 @@ Counts.  Blocks of documents ask, for each of their distinct words, how often al
 block and word, by hash (64 bits of each word's bytes).  The tables of weights grow with the tokens counted, one row for
 every `PER_ROW` of them, from `LEAST_ROWS` up to `MOST_ROWS` by tier: what an executor's cache holds.
 
-Weights are trained by distributed gradient updates, every training position once: in each of `ROUNDS` rounds tasks run over
+Biases start from the counts.  Weights are trained by distributed gradient updates, every training position once: in each of `ROUNDS` rounds tasks run over
 their part of the blocks, and start from the means of the round before.  A row's mean weighs tasks by how often they have met
 it, so what one task alone has seen is not thinned by the others.  Scores are made in sparse numpy batches: a token reads the
 rows of its own few features.
@@ -36,8 +36,8 @@ from . import common as C
 
 WIDE, TIERS, TOP = 16, 3, 3072
 LEAVES, BIAS = WIDE**TIERS, 512  # rows of a table that are biases
-PER_ROW, LEAST_ROWS, MOST_ROWS = 128, 1 << 12, (1 << 14, 1 << 15, 1 << 16)
-ROUNDS, BATCH, RATE, SLICES, FIELDS = 2, 8192, 0.25, 32, 4
+PER_ROW, LEAST_ROWS, MOST_ROWS = 8, 1 << 12, (1 << 14, 1 << 15, 1 << 16)
+ROUNDS, BATCH, RATE, SLICES, FIELDS = 2, 8192, 0.2, 32, 4
 _rng = np.random.default_rng(99)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD6E8FEB86659FD93
@@ -161,10 +161,24 @@ class Tree:
         np.subtract.at(sums[0], tail[best].astype("i8"), count[best].astype("i8"))
         np.subtract.at(sums[1], tail[best].astype("i8"), 1)
         self.held, self.kinds = sums
+        self.mass = sums[0] + 0.5  # tokens by leaf
+        self.mass[: len(best)] += count[best]
         order = np.argsort(value[best])
         self.words, self.leaf = value[best][order], order.astype("u2")
         size = 1 << max(0, self.total // PER_ROW).bit_length()
         self.sizes = [min(max(size, LEAST_ROWS), m) for m in MOST_ROWS]
+        self.batch = min(BATCH, max(256, 1 << (self.total // 1024).bit_length()))  # small corpora need more steps
+
+    def start(self) -> list[np.ndarray]:
+        """Weights whose biases give each class its share of the tokens of the class above it."""
+        weights = []
+        for tier, n in enumerate(self.sizes):
+            own = np.log(self.mass.reshape(WIDE ** (tier + 1), -1).sum(1)).reshape(-1, WIDE)
+            w = np.zeros((n, WIDE), "f4")
+            first = sum(WIDE**t for t in range(tier))
+            w[first : first + len(own)] = own - own.mean(1, keepdims=True)
+            weights.append(w)
+        return weights
 
     def leaves(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -241,8 +255,8 @@ def _gradients(weights: list[np.ndarray], tree: Tree):
             past, leaf = [x[pick] for x in past], leaf[pick]
             for tier, w in enumerate(own):
                 rows, k = features(past, leaf, tier, len(w))
-                for lo in range(0, len(k), BATCH):
-                    update(w, seen[tier], met[tier], rows[lo : lo + BATCH], k[lo : lo + BATCH])
+                for lo in range(0, len(k), tree.batch):
+                    update(w, seen[tier], met[tier], rows[lo : lo + tree.batch], k[lo : lo + tree.batch])
         if positions:
             change = np.concatenate([(a - b).astype("f2") for a, b in zip(own, weights, strict=True)])
             count = np.concatenate(met)
@@ -269,7 +283,7 @@ def _means(batches):
 
 def train(blocks: DataFrame, tree: Tree, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Weights by tier.  Each block is in one round; what reaches the driver is the mean of each slice of rows."""
-    weights = [np.zeros((n, WIDE), "f4") for n in tree.sizes]
+    weights = tree.start()
     for k in range(rounds):
         mine = blocks.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == k)
         got = C.dealt(mine.mapInArrow(_gradients(weights, tree), C.MESSAGE), min(SLICES, C.partitions(blocks.sparkSession))).mapInArrow(_means, C.MESSAGE).collect()

@@ -14,7 +14,7 @@ def test_every_training_position_changes_its_weights(spark, rounds):
     ids = [i for i in range(40) if not lm.is_held_out(np.array([i]))[0]][: len(texts)]
     blocks = C.blocks_of(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(2))
     tree = lm.Tree()
-    w = lm.train(blocks, tree, rounds)
+    w = [a - b for a, b in zip(lm.train(blocks, tree, rounds), tree.start(), strict=True)]
     for text in texts:
         raw = np.frombuffer(text.encode(), "u1")
         h, tail, doc = lm.tokens(raw, np.array([0, len(raw)]))
