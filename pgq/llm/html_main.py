@@ -1,14 +1,18 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded from the root down.
 
-A small tolerant parser builds the tree.  Every element gets features: its text and link text and that of its subtree,
-density, tag kind, tokens of its class, id and role, depth, and how it compares with its siblings.  Boosted trees give the
-probability that an element holds main text.  Decoding picks the likeliest labelling in which no element is kept whose
-ancestor is not, by dynamic programming over the tree, so ancestor and descendants never contradict each other.
+A tolerant parser builds the tree in one pass forward; open elements are found by their tag, never by looking through the
+stack, so time is linear in a page's length whatever is left open in it.  Every element gets features: its text and link text
+and that of its subtree, density, tag kind, tokens of its class, id and role, depth, and how it compares with its siblings.
+Tokens count by two lists of common words and by what training pages say of them: the log odds that an element with the
+token holds main text.  Boosted trees give the probability that an element holds main text.  Decoding picks the likeliest
+labelling in which no element is kept whose ancestor is not, by dynamic programming over the tree, so ancestor and
+descendants never contradict each other.
 
 The trees are trained when first needed, on pages written by `page()` here with known labels: no table holds any.
 
-Defined results: null html counts as empty; a page without main text gives the empty string; repeated rows give a row
-each; an empty table gives no rows.
+Defined results: null html counts as empty; a page without main text gives the empty string; very long and deeply nested
+pages are read whole; a tag that is never closed before the page ends is text, and from the first such tag on quotes no longer
+hide a `>`; repeated rows give a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"(class|id|role|itemprop|aria-label|data-testid)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,80 +58,124 @@ class Tree:
         self.tag, self.parent, self.depth, self.attrs, self.content = ["#"], [-1], [0], [""], []
 
 
+class _Open:
+    """Open elements, by place and by tag."""
+
+    def __init__(self, t: Tree):
+        self.t, self.stack, self.at = t, [0], {}
+
+    def push(self, me: int) -> None:
+        self.at.setdefault(self.t.tag[me], []).append(len(self.stack))
+        self.stack.append(me)
+
+    def pop(self) -> None:
+        self.at[self.t.tag[self.stack.pop()]].pop()
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names, 0 for none."""
+        return max((x[-1] for n in names if (x := self.at.get(n))), default=0)
+
+    def close(self, names, stop=()) -> None:
+        """Close the innermost of these, and what is open in it, unless one of `stop` lies further in."""
+        i = self.last(names)
+        if i > self.last(stop):
+            while len(self.stack) > i:
+                self.pop()
+
+
 def parse(page: str | None) -> Tree:
-    t, s, at = Tree(), page or "", 0
-    stack = [0]
+    t, s, at, pos = Tree(), page or "", 0, 0
+    end, loose = len(s), False
+    open_ = _Open(t)
 
     def text(x: str) -> None:
         if x:
-            t.content.append((stack[-1], _html.unescape(x)))
-
-    def close(names: set[str], stop: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if t.tag[stack[i]] in stop:
-                return
-            if t.tag[stack[i]] in names:
-                del stack[i:]
-                return
-
-    pos, end = 0, len(s)
-    while pos < end:
-        m = _MARK.search(s, pos)
-        if not m:
-            text(s[at:])
-            at = end
-            break
-        text(s[at : m.start()])
-        at = pos = m.end()
-        name = m[3]
-        if name is None:
-            if m[1]:
-                t.content.append((stack[-1], m[1]))
+            t.content.append((open_.stack[-1], _html.unescape(x)))
+
+    def after(mark: str, start: int) -> int:
+        i = s.find(mark, start)
+        return i + len(mark) if i >= 0 else end
+
+    def tag_end(start: int) -> int:
+        """Where the tag's > is: outside quotes; a quote without its pair is a plain character."""
+        nonlocal loose
+        i = start
+        while not loose:
+            m = _STOP.search(s, i)
+            if not m:
+                loose = True
+            elif m[0] == ">":
+                return m.start()
+            else:
+                pair = s.find(m[0], m.end())
+                i = pair + 1 if pair >= 0 else m.end()
+        return s.find(">", start)
+
+    while (lt := s.find("<", pos)) >= 0:
+        m = _NAME.match(s, lt + 1)
+        if s.startswith(("<!", "<?"), lt):
+            text(s[at:lt])
+            if s.startswith("<!--", lt):
+                at = pos = after("-->", lt + 4)
+            elif s.startswith("<![CDATA[", lt):
+                at = pos = after("]]>", lt + 9)
+                inner = s[lt + 9 : at - 3 if s.endswith("]]>", lt + 9, at) else at]
+                if inner:
+                    t.content.append((open_.stack[-1], inner))
+            else:
+                at = pos = after(">", lt)
+            continue
+        gt = tag_end(m.end()) if m else -1
+        if not m or gt < 0:
+            if m:  # no > is left: the rest is text
+                break
+            pos = lt + 1
             continue
-        name = name.lower()
-        if m[2]:
-            if name == "p" and not any(t.tag[i] == "p" for i in stack):
-                continue
+        text(s[at:lt])
+        at = pos = gt + 1
+        name, attrs = m[2].lower(), s[m.end() : gt]
+        if m[1]:
             if name == "br":
-                t.content.append((stack[-1], " "))
-                continue
-            close({name}, ("body", "html") if name in _INLINE else ())
+                t.content.append((open_.stack[-1], " "))
+            else:
+                open_.close((name,), ("body", "html") if name in _INLINE else ())
             continue
         if name == "br":
-            t.content.append((stack[-1], " "))
+            t.content.append((open_.stack[-1], " "))
             continue
-        if name in ("html", "body") and any(t.tag[i] == name for i in stack):
+        if name in ("html", "body") and open_.last((name,)):
             continue
         if name in _BLOCKS:
-            if any(t.tag[i] == "p" for i in stack):
-                close({"p"}, ("td", "th", "button", "object", "table"))
-            if name in ("body", "div", "article", "main", "nav", "header", "section") and t.tag[stack[-1]] == "head":
-                stack.pop()
+            open_.close(("p",), ("td", "th", "button", "object", "table"))
+            if name in ("body", "div", "article", "main", "nav", "header", "section") and t.tag[open_.stack[-1]] == "head":
+                open_.pop()
         if name == "body":
-            close({"head"}, ())
+            open_.close(("head",))
         if name in _CLOSES:
             also, stop = _CLOSES[name]
             for _ in range(2):
-                close(set(also.split()), stop)
+                open_.close(also.split(), stop)
         me = len(t.tag)
         t.tag.append(name)
-        t.parent.append(stack[-1])
-        t.depth.append(t.depth[stack[-1]] + 1)
-        t.attrs.append(" ".join(x[1] or x[2] or x[3] for x in _ATTR.findall(m[4])) if m[4] else "")
-        if name in _VOID or m[4].rstrip().endswith("/") and name not in _BLOCKS and name not in _INLINE:
+        t.parent.append(open_.stack[-1])
+        t.depth.append(t.depth[open_.stack[-1]] + 1)
+        t.attrs.append(" ".join(x[1] or x[2] or x[3] for x in _ATTR.findall(attrs)) if attrs else "")
+        if name in _VOID or attrs.rstrip().endswith("/") and name not in _BLOCKS and name not in _INLINE:
             continue
         if name in _RAW:
             found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(s, at)
             at = pos = found.end() if found else end
             continue
-        stack.append(me)
+        open_.push(me)
+    text(s[at:])
     return t
 
 
-FEATURES = 34
+FEATURES = 37
 
 
-def features(t: Tree) -> np.ndarray:
+def features(t: Tree, told: dict[str, float] | None = None) -> np.ndarray:
+    """told: log odds of attribute tokens, from training pages."""
     n = len(t.tag)
     parent = np.array(t.parent)
     own, links, marks, words = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
@@ -137,9 +186,11 @@ def features(t: Tree) -> np.ndarray:
             marks[e] += x.count(".") + x.count(",") + x.count("!") + x.count("?") + x.count(";")
             words[e] += x.count(" ") + 1
     good, bad, tag, kind = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    inline = np.zeros(n)
+    inline, odds, odds_up = np.zeros(n), np.zeros(n), np.zeros(n)
+    told = told or {}
     for i in range(n):
         parts = _PART.findall(t.attrs[i].lower()) if t.attrs[i] else ()
+        odds[i] = sum(told.get(p, 0.0) for p in parts)
         good[i] = sum(p in GOOD for p in parts)
         bad[i] = sum(p in BAD for p in parts)
         tag[i] = _TAG.get(t.tag[i], 0)
@@ -155,6 +206,7 @@ def features(t: Tree) -> np.ndarray:
         p = parent[i]
         in_link[i] = in_link[p] or links[i]
         bad_up[i] = bad_up[p] + bad[i]
+        odds_up[i] = min(odds_up[p], odds[i])
         good_up[i] = good_up[p] + good[i]
         kind_up[i] = kind_up[p] + (t.tag[i] in ("article", "main"))
         bad_kind_up[i] = bad_kind_up[p] + (kind[i] < 0)
@@ -177,6 +229,7 @@ def features(t: Tree) -> np.ndarray:
         all_text / np.maximum(all_words, 1), np.log1p(all_tags), np.array(t.depth), tag, kind, good, bad, bad_up, good_up, kind_up, bad_kind_up,
         kids, index, kids[up], index / np.maximum(kids[up], 1), all_text / np.maximum(all_text[up], 1), twins, twins / np.maximum(kids[up], 1),
         tag[up], kind[up], bad[up], good[up], np.log1p(all_text[up]), link_text[up] / np.maximum(all_text[up], 1), paras, np.log1p(paras[up]), np.log1p(all_marks), inline,
+        odds, odds_up, odds[up],
     ], 1)
 
 
@@ -312,28 +365,50 @@ def page(rng: np.random.Generator) -> tuple[str, str]:
     return f"<!DOCTYPE html><html><head><title>{few()}</title>{script}</head><body>{before}{whole}{after}" + "</body></html>" * chance(0.9), " ".join(said)
 
 
-_TRAINED: list[Boosted] = []
+def labelled(src: str) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """The tree of a page of page() without its marks, what of it is main, and what may be learned from."""
+    marked = parse(src.replace(" data-y>", ' class="yyy">'))
+    y = np.array([a == "yyy" for a in marked.attrs], bool)
+    up = y.copy()
+    for i in range(len(y) - 1, 0, -1):  # what holds main text, or stands in it, is main
+        up[marked.parent[i]] |= up[i]
+    for i in range(1, len(y)):
+        if marked.tag[i] in _INLINE and marked.parent[i] >= 0 and y[marked.parent[i]]:
+            y[i] = up[i] = True
+    return parse(src.replace(" data-y>", ">")), up, np.array([t not in _SILENT for t in marked.tag])
+
+
+def token_odds(pages: list[tuple[Tree, np.ndarray, np.ndarray]]) -> dict[str, float]:
+    """Log odds that an element whose class, id or role has a token holds main text, against any element."""
+    seen: dict[str, list[float]] = {}
+    whole = [1.0, 1.0]
+    for t, up, use in pages:
+        for i in np.flatnonzero(use).tolist():
+            whole[int(up[i])] += 1
+            for p in set(_PART.findall(t.attrs[i].lower())) if t.attrs[i] else ():
+                seen.setdefault(p, [1.0, 1.0])[int(up[i])] += 1
+    return {p: float(np.log(n[1] / n[0]) - np.log(whole[1] / whole[0])) for p, n in seen.items()}
+
+
+class Model(Boosted):
+    """Trees, and the log odds of tokens that their features read."""
+
+    told: dict[str, float]
+
+
+_TRAINED: list[Model] = []
 
 
-def model(pages: int = 350, seed: int = 3) -> Boosted:
-    """The trees, trained once a process on pages of known main text."""
+def model(pages: int = 350, seed: int = 3) -> Model:
+    """The trees, trained once a process on pages of known main text; tokens by the odds of the other half of the pages."""
     if not _TRAINED:
-        rng, xs, ys = np.random.default_rng(seed), [], []
-        for _ in range(pages):
-            src, _ = page(rng)
-            marked = parse(src.replace(" data-y>", ' class="yyy">'))
-            y = np.array([a == "yyy" for a in marked.attrs], bool)
-            up = y.copy()
-            for i in range(len(y) - 1, 0, -1):  # what holds main text, or stands in it, is main
-                up[marked.parent[i]] |= up[i]
-            for i in range(1, len(y)):
-                if marked.tag[i] in _INLINE and marked.parent[i] >= 0 and (y[marked.parent[i]]):
-                    y[i] = up[i] = True
-            x = features(parse(src.replace(" data-y>", ">")))
-            use = np.array([t not in _SILENT for t in marked.tag])
-            xs.append(x[use])
-            ys.append(up[use])
-        _TRAINED.append(Boosted().fit(np.concatenate(xs), np.concatenate(ys).astype("f8")))
+        rng = np.random.default_rng(seed)
+        made = [labelled(page(rng)[0]) for _ in range(pages)]
+        halves = [token_odds(made[1::2]), token_odds(made[::2])]
+        xs = [features(t, halves[i % 2])[use] for i, (t, _, use) in enumerate(made)]
+        trees = Model().fit(np.concatenate(xs), np.concatenate([up[use] for _, up, use in made]).astype("f8"))
+        trees.told = token_odds(made)
+        _TRAINED.append(trees)
     return _TRAINED[0]
 
 
@@ -373,18 +448,18 @@ def text_of(t: Tree, keep: np.ndarray) -> str:
     return " ".join(y for y in (" ".join(x.split()) for x in out) if y)
 
 
-def extract(src: str | None, trees: Boosted) -> str:
+def extract(src: str | None, trees: Model) -> str:
     t = parse(src)
-    return text_of(t, decode(t, trees.logit(features(t)))) if t.content else ""
+    return text_of(t, decode(t, trees.logit(features(t, trees.told)))) if t.content else ""
 
 
-def _extracted(trees: Boosted):
+def _extracted(trees: Model):
     def run(batches):
         for b in batches:
             parsed = [parse(x) for x in b.column(2).to_pylist()]
             for lo in range(0, len(parsed), 200):
                 part = parsed[lo : lo + 200]
-                x = [features(t) for t in part]
+                x = [features(t, trees.told) for t in part]
                 z = np.split(trees.logit(np.concatenate(x)), np.cumsum([len(a) for a in x])[:-1])
                 text = [text_of(t, decode(t, a)) for t, a in zip(part, z, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 200), b.column(1).slice(lo, 200), pa.array(text, pa.string()), pa.array([len(s) for s in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
