@@ -36,7 +36,7 @@ from . import common as C
 
 WIDE, TIERS, TOP = 16, 3, 3072
 LEAVES, BIAS = WIDE**TIERS, 512  # rows of a table that are biases
-PER_ROW, LEAST_ROWS, MOST_ROWS = 8, 1 << 12, (1 << 14, 1 << 15, 1 << 16)
+PER_ROW, LEAST_ROWS, MOST_ROWS = 8, 1 << 12, (1 << 14, 1 << 14, 1 << 16)
 ROUNDS, BATCH, RATE, SLICES, FIELDS = 2, 8192, 0.2, 32, 4
 _rng = np.random.default_rng(99)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -192,23 +192,28 @@ class Tree:
 
 
 def contexts(h: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the history of each token: the word before, the one before that, both."""
+    """32-bit hashes of the history of each token: the word before, the one before that, both."""
     one, two = np.zeros(len(h), "u8"), np.zeros(len(h), "u8")
     same1, same2 = np.flatnonzero(doc[1:] == doc[:-1]) + 1, np.flatnonzero(doc[2:] == doc[:-2]) + 2
     one[same1], two[same2] = h[same1 - 1], h[same2 - 2]
-    return [_mixed(one ^ np.uint64(11)), _mixed(two ^ np.uint64(22)), _mixed(one * _MIX + two)]
+    return [(x >> np.uint64(32)).astype("u4") for x in (_mixed(one ^ np.uint64(11)), _mixed(two ^ np.uint64(22)), _mixed(one * _MIX + two))]
+
+
+_SALT = _rng.integers(0, 2**32, BIAS, dtype="u4")
 
 
 def features(seen: list[np.ndarray], leaf: np.ndarray, tier: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows of a tier's weights for each token, FIELDS of them; the class taken there)."""
-    at = leaf.astype("i4")
-    node = at // WIDE ** (TIERS - tier) + sum(WIDE**t for t in range(tier))  # the class reached so far
-    salt = (node + 1).astype("u8") * np.uint64(_STEP)
-    rows = np.empty((len(leaf), FIELDS), "i4")
+    below = leaf // np.uint16(WIDE ** (TIERS - 1 - tier))
+    node = below // np.uint16(WIDE) + np.uint16(sum(WIDE**t for t in range(tier)))  # the class reached so far
+    rows, salt = np.empty((len(leaf), FIELDS), "i4"), _SALT[node]
     rows[:, 0] = node
     for i, x in enumerate(seen):
-        rows[:, i + 1] = (((x + salt) * np.uint64(0x2545F4914F6CDD1D) >> np.uint64(48)) * np.uint64(size - BIAS) >> np.uint64(16)).astype("i4") + BIAS
-    return rows, at // WIDE ** (TIERS - 1 - tier) % WIDE
+        mixed = (x + salt) * np.uint32(0x2545F491)
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x85EBCA6B)
+        rows[:, i + 1] = ((mixed >> np.uint32(16)) * np.uint32(size - BIAS) >> np.uint32(16)) + np.uint32(BIAS)
+    return rows, (below % np.uint16(WIDE)).astype("i4")
 
 
 def log_classes(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -222,8 +227,12 @@ def log_classes(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def update(w: np.ndarray, seen: np.ndarray, met: np.ndarray, rows: np.ndarray, k: np.ndarray) -> None:
     """One gradient step for a batch, scaled by row as Adagrad does; met counts how often a row was read."""
-    g = np.exp(log_classes(w, rows))
-    np.negative(g, out=g)
+    g = w[rows[:, 0]]
+    for i in range(1, FIELDS):
+        g += w[rows[:, i]]
+    g -= g.max(1, keepdims=True)
+    np.exp(g, out=g)
+    g /= -g.sum(1, keepdims=True)
     g[np.arange(len(k)), k] += 1
     order = np.argsort(rows.ravel().astype("u2"), kind="stable")  # two bytes are sorted by radix
     flat = rows.ravel()[order]

@@ -75,7 +75,7 @@ def test_probabilities_over_all_words_sum_to_one(spark):
     raw = " ".join(known).encode()
     h, tail, _ = lm.tokens(np.frombuffer(raw, "u1"), np.array([0, len(raw)]))  # the end is the last token
     leaf, count = tree.leaves(h, tail), np.array([seen[w] for w in [*known, None]], "f8")
-    past = [np.full(lm.LEAVES + len(h), x, "u8") for x in (5, 6, 7)]
+    past = [np.full(lm.LEAVES + len(h), x, "u4") for x in (5, 6, 7)]
     every = np.concatenate([np.arange(lm.LEAVES), leaf]).astype("u2")
     p = np.exp(lm.log_history(weights, past, every))
     assert p[: lm.LEAVES].sum() == pytest.approx(1, abs=1e-4)
