@@ -28,6 +28,7 @@ from . import common as C
 
 RUN = 5
 SAMPLED, LEAST = 64, 256  # keys of a range that are sampled; rows of a range on average, at least
+SMALL = 16 << 20  # bytes of first rows' texts that are broadcast
 _KEY = "struct<none:boolean,down:bigint,h:bigint>"
 
 
@@ -118,14 +119,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sketch, next_text, next_sketch.
 
     Texts are shuffled once, by ranges of rows.  The last row of a range has the first one of the next range as its next:
-    these rows, a few times the shuffle partitions at most, are found by their keys in a scan of their own.
+    these rows, a few times the shuffle partitions at most, are found by their keys in a scan of their own, and broadcast if
+    their texts are small, counted; beyond that they are joined, which shuffles the rest once more.
     """
     rows, bounds = _ranges(docs)
     held = sketch(rows.repartitionById(max(1, len(bounds)), F.col("part")), "text", "sketch")
     inner = held.withColumn("x", F.lead(F.struct("text", "sketch")).over(Window.partitionBy("part").orderBy("key")))
     starts = docs.sparkSession.createDataFrame([((k - 1) % len(bounds), b) for k, b in enumerate(bounds)], f"before int, start {_KEY}")
     first = rows.select("key", "text").join(F.broadcast(starts), F.col("key") == F.col("start")).groupBy("before").agg(F.min("text").alias("text"))
+    first = C.materialize(first)
+    size = first.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     heads = sketch(first, "text", "sketch").select(F.col("before").alias("part"), F.struct("text", "sketch").alias("head"))
+    heads = F.broadcast(heads) if size <= SMALL else heads
     x = F.coalesce("x", "head")
     return inner.join(heads, "part").select("doc_id", "text", "sketch", x["text"].alias("next_text"), x["sketch"].alias("next_sketch"))
 
