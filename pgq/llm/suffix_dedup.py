@@ -6,14 +6,14 @@ Plan.  The suffixes that can matter are found first, so that no shuffle carries
    have equal anchors at equal places; blocks send the distinct anchor hashes, four bytes each;
 2. anchors met in two documents go back to their blocks, which send the *contexts* of those anchors (the bytes of all
    windows that have the anchor), each distinct context once a block with the smallest doc_id that holds it;
-3. each bucket sorts the suffixes of its distinct contexts to 50 bytes with a deep-shallow sort (multikey quicksort over
-   eight-byte symbols down to 16 bytes, blind tries for the groups that are left), which gives each window the smallest
-   doc_id that holds it; blocks get these ids back and cut their documents.
+3. each bucket sorts the suffixes of its distinct contexts to 50 bytes with a deep-shallow sort (two bytes by radix, multikey
+   quicksort over eight-byte symbols down to 16 bytes, blind tries for the groups that are left), in which equal windows
+   stand side by side: each gets the smallest doc_id that holds it; blocks get these ids back and cut their documents.
 
 Anchor hashes only choose candidates; windows are compared byte by byte.  A passage that a third of all documents hold
 costs one message entry a block.
 
-Defined results: null text counts as empty (0 bytes); a null doc_id counts as larger than any other; rows with equal
+Defined results: null text counts as empty (0 bytes); a very long text is one block of its own, read in slices; a null doc_id counts as larger than any other; rows with equal
 doc_id never remove each other's bytes; an empty table gives no rows.
 """
 
@@ -165,46 +165,106 @@ def _symbols(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(buf, 8)[at].copy().view(">u8").ravel().astype("u8")
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys starts, and its length."""
+    new = np.empty(len(key), bool)
+    new[:1] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    head = np.flatnonzero(new)
+    return head, np.diff(np.append(head, len(key)))
+
+
+def _by_small_key(key: np.ndarray) -> np.ndarray:
+    """Stable order of small whole numbers; two bytes are sorted by radix."""
+    return np.argsort(key.astype("u2") if len(key) and key[-1] < 65536 and key.max() < 65536 else key, kind="stable")
+
+
+class Order:
+    """Suffixes in the making of their order: `sa` holds them slot by slot, `group` the first slot of those still alike."""
+
+    def __init__(self, buf: np.ndarray, starts: np.ndarray):
+        self.buf, self.starts, n = buf, starts, len(starts)
+        self.sa, self.group = np.arange(n), np.zeros(n, "i8")
+
+    def split(self, slots: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order each group's slots by `part`, a number below 256; give the order, the new groups' starts and sizes."""
+        head, size = _runs(self.group[slots])
+        key = np.repeat(np.arange(len(head)), size) * 256 + part
+        order = _by_small_key(key)
+        self.sa[slots] = self.sa[slots][order]
+        head, size = _runs(key[order])
+        self.group[slots] = np.repeat(slots[head], size)
+        return order, head, size
+
+    def by_two_bytes(self) -> np.ndarray:
+        """The first step, a radix sort; slots of groups of more than one."""
+        if not len(self.sa):
+            return self.sa
+        key = (self.buf[self.starts].astype("u2") << np.uint16(8)) | self.buf[self.starts + 1]
+        self.sa = np.argsort(key, kind="stable")
+        head, size = _runs(key[self.sa])
+        self.group = np.repeat(head, size)
+        return np.flatnonzero(np.repeat(size > 1, size))
+
+    def quicksort(self, slots: np.ndarray, shallow: int) -> np.ndarray:
+        """Multikey quicksort of all groups at once, down to `shallow` bytes: each takes the median of three of its symbols
+        as pivot and falls into what is less, equal and greater; the equal part goes on to its next symbol.  Slots of groups
+        that are equal so far."""
+        at, deep = np.zeros(len(slots), "i8"), [np.zeros(0, "i8")]
+        symbol = _symbols(self.buf, self.starts[self.sa[slots]]) if len(slots) else np.zeros(0, "u8")
+        while len(slots):
+            head, size = _runs(self.group[slots])
+            a, b, c = symbol[head], symbol[head + size // 2], symbol[head + size - 1]
+            pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+            side = (symbol > pivot).astype("i1") - (symbol < pivot) + 1
+            order, _, size = self.split(slots, side)
+            symbol, equal = symbol[order], side[order] == 1
+            at = at[order] + 8 * equal
+            more = np.repeat(size > 1, size)
+            deep.append(slots[more & (at >= shallow)])
+            more &= at < shallow
+            slots, at, symbol, equal = slots[more], at[more], symbol[more], equal[more]
+            on = np.flatnonzero(equal)
+            if len(on):
+                symbol[on] = _symbols(self.buf, self.starts[self.sa[slots[on]]] + at[on])
+        return np.sort(np.concatenate(deep))
+
+    def tries(self, slots: np.ndarray, shallow: int, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Blind tries over the rest of each group's suffixes, of all groups at once, a level at a time.  A node knows how
+        many bytes its members share and tells them apart by the one byte that follows; the bytes skipped are never
+        compared again, and what is read of a suffix is read once.  The slots are left in the order in which a walk
+        meets the leaves.  By level: (bytes skipped, children) of the nodes that branch."""
+        levels: list[tuple[np.ndarray, np.ndarray]] = []
+        if not len(slots):
+            return levels
+        rest = np.lib.stride_tricks.sliding_window_view(self.buf, depth - shallow)[self.starts[self.sa[slots]] + shallow]
+        row, live = np.arange(len(slots)), np.arange(len(slots))  # the row of `rest` that stands at each slot
+        while len(live):
+            head, size = _runs(self.group[slots[live]])
+            mine = rest[row[live]]
+            differ = mine != np.repeat(mine[head], size, axis=0)
+            shared = np.minimum.reduceat(np.where(differ.any(1), differ.argmax(1), depth - shallow), head)
+            fork = np.repeat(shared < depth - shallow, size)  # the others are equal to the end: leaves
+            live = live[fork]
+            if not len(live):
+                break
+            byte = mine[fork][np.arange(len(live)), np.repeat(shared, size)[fork]]
+            order, _, size = self.split(slots[live], byte)
+            row[live] = row[live][order]
+            forks = shared[shared < depth - shallow]
+            levels.append((forks, np.array([len(size), len(forks)])))
+            live = live[np.repeat(size > 1, size)]
+        return levels
+
+
 def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int = WINDOW, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order the suffixes at `starts` by their first `depth` bytes; also the group of equal ones that each belongs to.
 
-    Every suffix has at least `depth` bytes.  Multikey quicksort takes eight-byte symbols down to `shallow` bytes.  Groups
-    that are still equal go to blind tries, built for all groups at once: a group skips to the first byte at which any
-    member departs from its first one, and branches on that byte alone.
-    """
-    sa = np.arange(len(starts))
-    gid, slots = np.zeros(len(starts), "i8"), np.arange(len(starts))
-    group = np.zeros(len(starts), "i8")
-
-    def refine(symbol: np.ndarray, old: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((symbol, old))
-        sa[slots] = sa[slots][order]
-        old, symbol = old[order], symbol[order]
-        new = np.concatenate([[True], (old[1:] != old[:-1]) | (symbol[1:] != symbol[:-1])])
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(new)))
-        mine = np.repeat(slots[head], size)
-        group[slots] = mine
-        more = np.repeat(size > 1, size)
-        return mine[more], slots[more]
-
-    for d in range(0, shallow, 8):
-        if len(slots):
-            gid, slots = refine(_symbols(buf, starts[sa[slots]] + d), gid, slots)
-    tail = np.lib.stride_tricks.sliding_window_view(buf, depth - shallow) if len(buf) >= depth - shallow else None
-    while len(slots):
-        head = np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]]))
-        size = np.diff(np.append(head, len(gid)))
-        rows = tail[starts[sa[slots]] + shallow]
-        differ = rows != np.repeat(rows[head], size, axis=0)
-        lcp = np.where(differ.any(1), differ.argmax(1), depth - shallow)
-        branch = np.minimum.reduceat(lcp, head)
-        more = np.repeat(branch < depth - shallow, size)
-        if not more.any():
-            break
-        at = np.repeat(branch, size)[more]
-        gid, slots = refine(rows[more][np.arange(len(at)), at], gid[more], slots[more])
-    return sa, group
+    Every suffix has at least `depth` bytes, and `shallow` is a multiple of eight.  Deep-shallow sort: two bytes by radix,
+    multikey quicksort over eight-byte symbols down to `shallow` bytes, blind tries for the groups that are left."""
+    done = Order(buf, starts)
+    done.tries(done.quicksort(done.by_two_bytes(), shallow), shallow, depth)
+    return done.sa, done.group
 
 
 def first_holders(seen: dict[bytes, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

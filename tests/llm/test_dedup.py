@@ -56,6 +56,28 @@ def test_deep_shallow_sort():
     assert [own[sa[i]] == own[sa[i - 1]] for i in range(1, len(sa))] == [bool(group[i] == group[i - 1]) for i in range(1, len(sa))]
 
 
+@pytest.mark.parametrize("n, letters", [(0, 2), (1, 2), (2, 2), (500, 1), (4000, 2), (4000, 200)])
+def test_each_step_of_the_sort(n, letters):
+    rng = np.random.default_rng(n + letters)
+    text = rng.integers(0, letters, n, dtype="u1")
+    buf = np.concatenate([text, np.tile(text[:300], 4), np.zeros(58, "u1")])
+    starts = rng.permutation(len(buf) - 58)[:n]
+    own = [buf[i : i + 50].tobytes() for i in starts]
+    alike = lambda o, k: [own[a][:k] == own[b][:k] for a, b in zip(o.sa, o.sa[1:], strict=False)]
+    grouped = lambda o: (o.group[1:] == o.group[:-1]).tolist()
+    o = suffix_dedup.Order(buf, starts)
+    slots = o.by_two_bytes()
+    assert [own[i][:2] for i in o.sa] == sorted(x[:2] for x in own) and grouped(o) == alike(o, 2)
+    deep = o.quicksort(slots, 16)
+    assert [own[i][:16] for i in o.sa] == sorted(x[:16] for x in own) and grouped(o) == alike(o, 16)
+    levels = o.tries(deep, 16, 50)
+    assert [own[i] for i in o.sa] == sorted(own) and grouped(o) == alike(o, 50)
+    # a blind trie branches once less often than it has distinct leaves
+    leaves = len({x for i in deep for x in [own[o.sa[i]]]})
+    roots = len({own[o.sa[i]][:16] for i in deep})
+    assert sum(int(children - forks) for _, (children, forks) in levels) == leaves - roots
+
+
 def brute_fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     runs = ([" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]) if w else []
