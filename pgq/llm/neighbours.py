@@ -1,13 +1,19 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A unit vector is turned by three rounds of random signs and a Hadamard transform, and its bucket is the nearest signed
-axis.  Each of `TABLES` tables holds every distinct vector once.  A query probes the `PROBES` buckets, over all tables,
-whose axes are nearest to it, and everything in them is scored exactly on the original vectors.  With four tables of 64
-dimensions that is under a third of the buckets; recall of the 20 nearest against brute force, measured: 0.95 to 0.99
-(500 to 51,282 vectors).  Queries whose probed buckets hold fewer than `top` candidates are then scored against all blocks.
+A unit vector is turned by three rounds of random signs and a Hadamard transform, and the nearest signed axis is a digit of
+its bucket.  A bucket has as many digits, each by a rotation of its own, as the table needs to keep about `BUCKET` vectors in
+one; the last rotation looks at its first few axes only, so that the number of buckets follows the number of vectors.  Each
+of `TABLES` tables holds every distinct vector once.  A query probes a number of buckets over all tables, those whose axes
+fall least short of its nearest ones, and everything in them is scored exactly on the original vectors.  How many is
+measured: `TRIAL` vectors are searched in the whole table by brute force, and as many buckets are probed as it takes to hold
+`RECALL` of what that finds.  So vectors that hash well are searched in few buckets, however large the table, and recall holds
+where they do not; at `MOST` probes it ends.  Queries whose probed buckets hold fewer than `top` candidates are then scored
+against all blocks.
 
-Equal vectors are one entry, with their `top` + 1 smallest ids, so copies cannot fill a bucket.  Buckets are split into
-salted blocks as the table grows; a query meets every block of a bucket it probes.
+Equal vectors are one entry, with their `top` + 1 smallest ids, so copies cannot fill a bucket; queries that share one vector
+with many others meet it by a broadcast of such vectors, of which there are fewer than shuffle partitions.  Buckets are split
+into salted blocks of `BLOCK_ROWS`; a query meets every block of a bucket it probes.  A task reads its blocks in turn, the
+vectors first and then the queries that meet them, so what it holds is one block.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 without vec_id; shorter vectors count as padded with zeros; equal scores go by smaller vec_id; a query never finds its own
@@ -24,7 +30,8 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-TABLES, PROBES, TOP, BLOCK_ROWS = 4, 176, 20, 4096
+TABLES, TOP, BLOCK_ROWS, BUCKET, NEAR = 4, 20, 4096, 512, 12
+TRIAL, RECALL, LEAST, MOST = 64, 0.95, 32, 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -59,77 +66,164 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _send(width: int, salts: int, probes: int, queries: bool):
+def digits(n: int, width: int) -> list[int]:
+    """How many signed axes each digit of a bucket chooses from: as many buckets as n vectors need, the last digit cut."""
+    whole = 2 << max(0, width - 1).bit_length()
+    need, found = n / BUCKET, [whole]
+    while need > np.prod(found, dtype="f8") and len(found) < 4:
+        found.append(int(min(whole, max(2, 2 * round(need / np.prod(found, dtype="f8") / 2)))))
+    return found
+
+
+def axes(x: np.ndarray, sizes: list[int], table: int) -> list[np.ndarray]:
+    """For each digit how near unit vectors are to the axes it chooses from."""
+    turns = (turned(x, table + TABLES * d)[:, : n // 2] for d, n in enumerate(sizes))
+    return [np.concatenate([t, -t], 1) for t in turns]
+
+
+def buckets(x: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """The bucket of each unit vector in every table, tables numbered on."""
+    out = np.zeros((len(x), TABLES), "i8")
+    for k in range(TABLES):
+        out[:, k] = k
+        for a, n in zip(axes(x, sizes, k), sizes, strict=True):
+            out[:, k] = out[:, k] * n + a.argmax(1)
+    return out
+
+
+def probed(x: np.ndarray, sizes: list[int], probes: int) -> np.ndarray:
+    """The buckets, over all tables, whose axes fall least short of the nearest ones, those first."""
+    found, loss = [], []
+    for k in range(TABLES):
+        cell, short = np.full((len(x), 1), k, "i8"), np.zeros((len(x), 1))
+        for a, n in zip(axes(x, sizes, k), sizes, strict=True):
+            few = n if len(sizes) == 1 else min(n, max(NEAR, probes // NEAR))
+            near = np.argpartition(-a, few - 1, axis=1)[:, :few] if few < n else np.broadcast_to(np.arange(n), a.shape)
+            less = (a.max(1, keepdims=True) - np.take_along_axis(a, near, 1)) ** 2
+            cell = (cell[:, :, None] * n + near[:, None, :]).reshape(len(x), -1)
+            short = (short[:, :, None] + less[:, None, :]).reshape(len(x), -1)
+            if cell.shape[1] > probes:
+                keep = np.argpartition(short, probes - 1, axis=1)[:, :probes]
+                cell, short = np.take_along_axis(cell, keep, 1), np.take_along_axis(short, keep, 1)
+        found.append(cell)
+        loss.append(short)
+    cell, short = np.concatenate(found, 1), np.concatenate(loss, 1)
+    return np.take_along_axis(cell, np.argsort(short, axis=1, kind="stable")[:, :probes], 1)
+
+
+def _trial(width: int, sizes: list[int], who: np.ndarray, q: np.ndarray, top: int):
+    """For each trial query the best of what a task reads, and after how many probes each would be met."""
+    cells = probed(_unit(q), sizes, MOST)
+    order = np.argsort(cells, axis=1, kind="stable")
+    ranked = np.take_along_axis(cells, order, 1)
+
+    def run(batches):
+        best = [(np.zeros(0), np.zeros(0, "i8"))] * len(who)
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(lo, BLOCK_ROWS)
+                x, own = _matrix(part.column(1), width), part.column(0).to_numpy()
+                home, s = buckets(_unit(x), sizes), q @ x.T
+                for i in range(len(who)):
+                    mine = np.flatnonzero(own != who[i])
+                    pick = mine[np.argsort(-s[i, mine], kind="stable")[:top]]
+                    at = np.minimum(np.searchsorted(ranked[i], home[pick]), cells.shape[1] - 1)
+                    met = np.where(ranked[i][at] == home[pick], order[i][at], MOST).min(1)
+                    score, met = np.concatenate([best[i][0], s[i, pick]]), np.concatenate([best[i][1], met])
+                    keep = np.argsort(-score, kind="stable")[:top]
+                    best[i] = score[keep], met[keep]
+        for i, (score, met) in enumerate(best):
+            if len(score):
+                yield pa.RecordBatch.from_pydict({"rep": pa.array(np.full(len(score), who[i])), "vec_id": pa.array(met.astype("i8")), "score": pa.array(score)})
+
+    return run
+
+
+def enough_probes(entries: DataFrame, width: int, sizes: list[int], top: int) -> int:
+    """How many buckets hold RECALL of the neighbours of TRIAL vectors, found by brute force."""
+    rows = C.hash_sample(entries.select("rep", "v"), TRIAL, "rep").collect()
+    if not rows:
+        return LEAST
+    q = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        q[i, : len(r["v"])] = r["v"]
+    seen = entries.select("rep", "v").mapInArrow(_trial(width, sizes, np.array([r["rep"] for r in rows]), q, top), "rep long, vec_id long, score double")
+    window = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+    met = sorted(r[0] for r in seen.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= top).select("vec_id").collect())  # TRIAL x top at most
+    return int(np.clip(met[min(len(met) - 1, int(RECALL * len(met)))] + 1, LEAST, MOST)) if met else LEAST
+
+
+def _send(width: int, sizes: list[int], salts: int, probes: int, queries: bool):
     """One row for each vector and bucket: entries go to one salted block, queries to all blocks of the buckets probed."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit(_matrix(b.column(1), width))
-            axes = np.concatenate([np.concatenate([t, -t], 1) for t in (turned(x, k) for k in range(TABLES))], 1)
-            per = axes.shape[1] // TABLES
-            if queries:
-                k = min(probes, axes.shape[1])
-                cells = np.argpartition(-axes, k - 1, axis=1)[:, :k]
-                row = np.repeat(np.arange(len(x)), k)
-                bucket = (cells.ravel()[:, None] * salts + np.arange(salts)).ravel()
-                row = np.repeat(row, salts)
-            else:
-                cells = np.stack([axes[:, k * per : (k + 1) * per].argmax(1) + k * per for k in range(TABLES)], 1)
-                row = np.repeat(np.arange(len(x)), TABLES)
-                ids = b.column(0).to_numpy().view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                bucket = cells.ravel() * salts + np.repeat((ids % np.uint64(salts)).astype("i8"), TABLES)
-            for lo in range(0, len(row), 20_000):
-                at = pa.array(row[lo : lo + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[lo : lo + 20_000].astype("i4")), pa.array([queries] * len(at)), *(b.column(i).take(at) for i in range(3))], names=["bucket", "query", "rep", "v", "ids"])
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x = _unit(_matrix(part.column(1), width))
+                cells = probed(x, sizes, probes) if queries else buckets(x, sizes)
+                row = np.repeat(np.arange(len(x)), cells.shape[1])
+                if queries:
+                    bucket, row = (cells.ravel()[:, None] * salts + np.arange(salts)).ravel(), np.repeat(row, salts)
+                else:
+                    ids = part.column(0).to_numpy().view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                    bucket = cells.ravel() * salts + np.repeat((ids % np.uint64(salts)).astype("i8"), TABLES)
+                for lo in range(0, len(row), 20_000):
+                    pick = pa.array(row[lo : lo + 20_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[lo : lo + 20_000]), pa.array([queries] * len(pick)), *(part.column(i).take(pick) for i in range(3))], names=["bucket", "query", "rep", "v", "ids"])
 
     return run
 
 
+def _scored(who: np.ndarray, q: np.ndarray, held: tuple, top: int) -> pa.RecordBatch:
+    """The best `top` + 1 ids of each query in one block."""
+    cs, n, flat, start = held
+    s = q @ cs.T
+    few = min(top + 9, s.shape[1])
+    edge = np.take_along_axis(s, np.argpartition(-s, few - 1, axis=1)[:, :few], 1).min(1)
+    out_q, out_i, out_s = [], [], []
+    for i in range(len(q)):
+        # rounding of a matrix product must not decide between equals
+        p = np.flatnonzero(s[i] >= edge[i] - 1e-9 * max(1.0, abs(edge[i])))
+        exact = (cs[p] * q[i]).sum(1)
+        p, exact = np.repeat(p, n[p]), np.repeat(exact, n[p])
+        own = flat[start[p] + np.arange(len(p)) - np.searchsorted(p, p)]
+        best = np.lexsort((own, -exact))[: top + 1]
+        out_q.append(np.full(len(best), who[i]))
+        out_i.append(own[best])
+        out_s.append(exact[best])
+    return pa.RecordBatch.from_pydict({"rep": pa.array(np.concatenate(out_q)), "vec_id": pa.array(np.concatenate(out_i)), "score": pa.array(np.concatenate(out_s))})
+
+
 def _score(width: int, top: int):
-    """The best `top` + 1 ids of each query in each block."""
+    """Each query against the blocks it meets; rows come by bucket, a block's vectors before its queries."""
+
+    def block(parts: list) -> tuple:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        ids = rows.column("ids").to_pylist()
+        cs = _matrix(rows.column("v").chunk(0), width)
+        order = sorted(range(len(ids)), key=lambda i: ids[i][0])
+        cs, ids = cs[order], [ids[i] for i in order]
+        n = np.array([len(i) for i in ids])
+        return cs, n, np.concatenate(ids), np.cumsum(n) - n
 
     def run(batches):
-        parts: dict[tuple[int, bool], list] = {}
+        now, held, ready = None, [], None
         for b in batches:
-            t = pa.Table.from_batches([b])
             bucket, query = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-            for k in np.unique(bucket):
-                for q in (False, True):
-                    rows = np.flatnonzero((bucket == k) & (query == q))
-                    if len(rows):
-                        x = t.take(pa.array(rows)).combine_chunks()
-                        parts.setdefault((int(k), q), []).append((x.column("rep").to_numpy(), _matrix(x.column("v").chunk(0), width).astype("f4"), x.column("ids").to_pylist()))
-        for k in sorted({k for k, _ in parts}):
-            if (k, True) not in parts or (k, False) not in parts:
-                continue
-            who = np.concatenate([p[0] for p in parts[k, True]])
-            qs = np.concatenate([p[1] for p in parts.pop((k, True))]).astype("f8")
-            held = parts.pop((k, False))
-            cs, ids = np.concatenate([p[1] for p in held]).astype("f8"), [i for p in held for i in p[2]]
-            order = sorted(range(len(ids)), key=lambda i: ids[i][0])
-            cs, ids = cs[order], [ids[i] for i in order]
-            n = np.array([len(i) for i in ids])
-            flat, start = np.concatenate(ids), np.cumsum(n) - n
-            for lo in range(0, len(who), 256):
-                q = qs[lo : lo + 256]
-                s = q @ cs.T
-                few = min(top + 9, s.shape[1])
-                pick = np.argpartition(-s, few - 1, axis=1)[:, :few]
-                edge = np.take_along_axis(s, pick, 1).min(1)
-                out_q, out_i, out_s = [], [], []
-                for i in range(len(q)):
-                    # rounding of a matrix product must not decide between equals
-                    p = np.flatnonzero(s[i] >= edge[i] - 1e-9 * max(1.0, abs(edge[i])))
-                    exact = (cs[p] * q[i]).sum(1)
-                    p, exact = np.repeat(p, n[p]), np.repeat(exact, n[p])
-                    own = flat[start[p] + np.arange(len(p)) - np.searchsorted(p, p)]
-                    best = np.lexsort((own, -exact))[: top + 1]
-                    out_q.append(np.full(len(best), who[lo + i]))
-                    out_i.append(own[best])
-                    out_s.append(exact[best])
-                yield pa.RecordBatch.from_pydict({"rep": pa.array(np.concatenate(out_q)), "vec_id": pa.array(np.concatenate(out_i)), "score": pa.array(np.concatenate(out_s))})
+            cut = np.flatnonzero((bucket[1:] != bucket[:-1]) | (query[1:] != query[:-1])) + 1
+            for lo, hi in zip(np.concatenate([[0], cut]).tolist(), np.append(cut, len(bucket)).tolist(), strict=True):
+                if lo == hi:
+                    continue
+                if bucket[lo] != now:
+                    now, held, ready = bucket[lo], [], None
+                if not query[lo]:
+                    held.append(b.slice(lo, hi - lo))
+                elif held:
+                    ready = ready or block(held)
+                    for at in range(lo, hi, 256):
+                        part = b.slice(at, min(256, hi - at))
+                        yield _scored(part.column(2).to_numpy(), _matrix(part.column(3), width), ready, top)
 
     return run
 
@@ -154,38 +248,48 @@ def _best(top: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 20, top: int = TOP, probes: int = PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score; queries: rows whose vec_id is divisible by `every`."""
+def _with(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined with `table` on a key; hot: those rows of it that many rows meet, few, which are broadcast."""
+    some = F.broadcast(hot.select(key).distinct())
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(some, key, "left_anti").join(table.join(some, key, "left_anti"), key))
+
+
+def search(vectors: DataFrame, every: int = 20, top: int = TOP, probes: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score; queries: rows whose vec_id is divisible by `every`.  probes: measured, if not given."""
     spark = C.prepare(vectors.sparkSession)
+    parts = C.partitions(spark)
     v = F.col("embedding").cast("array<double>")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    distinct = good.withColumn("_rank", rank).where(F.col("_rank") <= top + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = C.materialize(distinct.select(F.col("ids")[0].alias("rep"), "v", "ids"))
-    n, width = entries.agg(F.count("*"), F.max(F.size("v"))).first()
-    width = width or 1
-    salts = max(1, -(-n * TABLES // (2 * TABLES * (1 << max(0, width - 1).bit_length()) * BLOCK_ROWS)))
-    asked = C.materialize(good.where(F.col("vec_id") % every == 0).join(entries.select("v", "rep"), "v").select("vec_id", "rep"))
-    queries = entries.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v", "ids")
-    row = "bucket int, query boolean, rep long, v array<float>, ids array<long>"
-    sent = entries.mapInArrow(_send(width, salts, probes, False), row).unionByName(queries.select("rep", "v", F.slice("ids", 1, 0).alias("ids")).mapInArrow(_send(width, salts, probes, True), row))
-    parts = C.partitions(spark)
-    found = C.dealt(sent.withColumn("bucket", F.pmod("bucket", F.lit(2**30)).cast("int")), parts).mapInArrow(_score(width, top), "rep long, vec_id long, score double")
+    firsts = good.withColumn("_rank", rank).where(F.col("_rank") <= top + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    counts = good.where(F.col("vec_id") % every == 0).groupBy("v").agg(F.count("*").alias("asked"))
+    entries = C.materialize(firsts.join(counts, "v", "left").select(F.col("ids")[0].alias("rep"), "v", "ids", F.coalesce("asked", F.lit(0)).alias("asked")))
+    n, width, total, asks = entries.agg(F.count("*"), F.max(F.size("v")), F.sum(F.size("ids")), F.sum("asked")).first()
+    width, total = width or 1, total or 0
+    sizes = digits(n, width)
+    probes = probes or enough_probes(entries, width, sizes, top)
+    salts = max(1, -(-n // (2 * int(np.prod(sizes)) * BLOCK_ROWS)))
+    often = entries.where(F.col("asked") * parts > F.lit(asks or 0)).select("v", "rep")  # fewer than partitions
+    asked = C.materialize(_with(good.where(F.col("vec_id") % every == 0), entries.select("v", "rep"), "v", often).select("vec_id", "rep"))
+    queries = entries.where("asked > 0").select("rep", "v", F.slice("ids", 1, 0).alias("ids"))
+    row = f"bucket long, query boolean, rep long, v {kind}, ids array<long>"
+    in_order = lambda d: C.dealt(d.withColumn("to", F.pmod(F.xxhash64("bucket"), F.lit(parts)).cast("int")), parts, "to").drop("to").sortWithinPartitions("bucket", "query")
+    found = "rep long, vec_id long, score double"
+    sent = entries.select("rep", "v", "ids").mapInArrow(_send(width, sizes, salts, probes, False), row).unionByName(queries.mapInArrow(_send(width, sizes, salts, probes, True), row))
     lists = "rep long, found array<struct<vec_id:long,score:double>>"
-    best = C.materialize(found.repartition(parts, "rep").mapInArrow(_best(top), lists))
-    total = entries.agg(F.sum(F.size("ids"))).first()[0] or 0
+    best = C.materialize(in_order(sent).mapInArrow(_score(width, top), found).repartition(parts, "rep").mapInArrow(_best(top), lists))
     enough = best.where(F.size("found") >= min(top + 1, total))
     short = C.materialize(queries.join(enough.select("rep"), "rep", "left_anti"))
     if not short.isEmpty():  # their buckets hold too few: all blocks
         blocks = parts * max(1, -(-n // (parts * BLOCK_ROWS)))
-        held = entries.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("bucket"), F.lit(False).alias("query"), "rep", "v", "ids")
-        asks = short.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bucket"), F.lit(True).alias("query"), "rep", "v", F.slice("ids", 1, 0).alias("ids"))
-        whole = C.dealt(held.unionByName(asks), parts).mapInArrow(_score(width, top), "rep long, vec_id long, score double")
-        best = enough.unionByName(whole.repartition(parts, "rep").mapInArrow(_best(top), lists))
+        held = entries.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).alias("bucket"), F.lit(False).alias("query"), "rep", "v", "ids")
+        asks_all = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket"), F.lit(True).alias("query"), "rep", "v", "ids")
+        best = enough.unionByName(in_order(held.unionByName(asks_all)).mapInArrow(_score(width, top), found).repartition(parts, "rep").mapInArrow(_best(top), lists))
     own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, top)
-    both = asked.select(F.col("vec_id").alias("query_id"), "rep").join(best, "rep").select("query_id", F.posexplode(own))
+    both = _with(asked.select(F.col("vec_id").alias("query_id"), "rep"), best, "rep", best.join(F.broadcast(often.select("rep")), "rep", "left_semi")).select("query_id", F.posexplode(own))
     return both.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "col.vec_id", "col.score")
 
 
