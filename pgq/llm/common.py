@@ -7,6 +7,7 @@ entry for each distinct value in a block, so a value that a third of all rows ho
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -42,17 +43,60 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named, as in tests."""
+    """The cluster's shared folder; a folder of our own only on one machine where none is named, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
         found = tempfile.mkdtemp(prefix="pgq-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: Folders and tables that this process has written, oldest first: (path, table or None).
+_MADE: list[tuple[str, str | None]] = []
+
+
+def _new_path(spark: SparkSession, table: str | None = None) -> str:
+    if not _MADE:
+        atexit.register(_at_exit, spark)
+    path = f"{shared_dir(spark)}/pgq-{uuid.uuid4().hex}"
+    _MADE.append((path, table))
+    return path
+
+
+def made() -> int:
+    """A mark for remove_since()."""
+    return len(_MADE)
+
+
+def remove_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Remove what has been written since a mark, but for what `keep` reads: its files, if materialize() gave it.  Plans
+    that still need the rest fail.  All of it goes when the process ends."""
+    kept = keep.inputFiles()[:1] if keep is not None else []
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    for path, table in _MADE[mark:]:
+        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in kept):
+            continue
+        if table:
+            spark.sql(f"drop table if exists {table}")
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE[mark:] = [x for x in _MADE[mark:] if any(f"/{x[0].rsplit('/', 1)[1]}/" in f for f in kept)]
+
+
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        remove_since(spark, 0)
+    except Exception:  # the JVM is gone: nobody can be told, and the folder is the cluster's to clear
+        return
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/pgq-{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -72,7 +116,7 @@ def unpack(x: bytes, dtype: str | None = None):
 
 
 def blocks_of(docs: DataFrame, keep: list[str] = (), size: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of whole documents, in a bucketed table of the warehouse: joins on block read it without a shuffle.
+    """Blocks of whole documents, in a bucketed table kept in the shared folder: joins on block read it without a shuffle.
 
     Null texts count as empty.  keep: further columns that each block carries as they are.
     """
@@ -115,7 +159,7 @@ def blocks_of(docs: DataFrame, keep: list[str] = (), size: int = BLOCK_BYTES) ->
 
     name = f"pgq_blocks_{uuid.uuid4().hex}"
     rows = docs.select("doc_id", F.col("text"), *[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)])  # mapInArrow can't take every name
-    rows.mapInArrow(make, BLOCK_SCHEMA).write.bucketBy(partitions(spark), "block").format("parquet").saveAsTable(name)
+    rows.mapInArrow(make, BLOCK_SCHEMA).write.bucketBy(partitions(spark), "block").format("parquet").option("path", _new_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 
 

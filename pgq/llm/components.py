@@ -13,7 +13,11 @@ def stars(edges: DataFrame) -> DataFrame:
     component (roots themselves are left out).
 
     Alternates large-star and small-star steps: each links the neighbours of a node to the smallest among them, so a path
-    halves with every round.  Every round is one written table; a hub costs a row an edge, never a gathered list.
+    halves with every round.  Every round is one written table; a hub costs a row an edge, never a gathered list.  A hub's
+    edges share a join key, which AQE's skew join splits.
+
+    Defined results: loops and repeated edges count once; nodes without an edge to another, and no edges at all, give no
+    rows; a null end never joins, so such edges have no effect.
     """
     e = C.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None

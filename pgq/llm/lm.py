@@ -309,7 +309,12 @@ def log_history(weights: list[np.ndarray], past: list[np.ndarray], leaf: np.ndar
         s = slice(lo, lo + BATCH)
         for tier, w in enumerate(weights):
             rows, k = features([x[s] for x in past], leaf[s], tier, len(w))
-            out[s] += log_classes(w, rows)[np.arange(len(k)), k]
+            z = w[rows[:, 0]]
+            for i in range(1, FIELDS):
+                z += w[rows[:, i]]
+            z -= z.max(1, keepdims=True)
+            taken = z[np.arange(len(k)), k]
+            out[s] += taken - np.log(np.exp(z, out=z).sum(1))
     return out
 
 

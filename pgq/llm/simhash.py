@@ -8,8 +8,8 @@ fingerprints it can hold whatever the corpus.  Matches are verified on all 64 bi
 flipping their free bits, and yield a spanning star for each of their components, not pairs.
 
 Defined results: texts without words (null, empty, white space) have fingerprint zero, linked like any other; equal rows
-each get a row; a null doc_id takes part but never names a component unless all ids there are null; an empty table gives
-no rows.
+each get a row; a null doc_id takes part but never names a component unless all ids there are null; very long texts are
+hashed whole, all shingles at once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,6 +54,11 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).cast(pa.int64()), "fp": pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())})
 
 
+def _marked(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).cast(pa.int64()), "h": b.column(1), "fp": pa.array([fingerprint(t) for t in b.column(2).to_pylist()], pa.int64())})
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     C.prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -180,9 +185,25 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays (one row of it, if its id repeats).
-    Rows without a doc_id stay."""
-    gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return left.withColumn("_pgq_first", first).where("_pgq_first = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Pipeline stage: exactly one row of each component stays, one with the smallest id; of texts that share that id, the
+    one with the smallest fingerprint.  Rows without a doc_id stay.
+
+    Rows are chosen by id where an id comes once, which moves no text; only rows whose id comes again are looked at whole.
+    """
+    narrow = C.materialize(components(docs).where("doc_id is not null"))
+    by_id = narrow.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
+    many = C.materialize(by_id.where("n > 1").select("doc_id"))
+    done = by_id.where("n > 1 or doc_id <> least").select("doc_id")
+    once = docs.join(done, "doc_id", "left_anti")
+    again = docs.join(many, "doc_id", "left_semi")
+    if many.isEmpty():
+        return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    best = narrow.where("doc_id = component_id").groupBy("doc_id").agg(F.min("fp").alias("fp"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # of one id the texts of one fingerprint: a hash of the text stands for it
+    h = F.xxhash64("text")
+    fps = again.select("doc_id", "text", h.alias("h")).groupBy("doc_id", "h").agg(F.min("text").alias("text")).mapInArrow(_marked, "doc_id long, h long, fp long")
+    marked = again.select(own, F.col("doc_id").cast("long").alias("doc_id"), h.alias("h")).join(fps, ["doc_id", "h"])
+    first = F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy("h"))
+    chosen = marked.join(best, ["doc_id", "fp"], "left_semi").withColumn("_n", first).where("_n = 1").select("row.*")
+    return once.unionByName(chosen).select(*[F.col(f"`{c}`") for c in docs.columns])
