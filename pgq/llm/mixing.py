@@ -5,9 +5,10 @@ met by whole epochs first; what is left goes to the documents with the smallest
 (the document at the edge is taken if that brings the sum nearer).  Prefix sums run in two levels: keys fall into
 narrow ranges whose sums are added up first, so no task holds a whole source.  Documents meet the plan of their source
 without a shuffle: the plan is broadcast when its counted size is small, and beyond that the sources with many rows are,
-of which there are few, while the rest join by source.
+of which there are few, while the rest join by source.  Sources themselves are ranked in one task: a row each.
 
-Defined results: null and empty texts have size 0; a null source is a source of its own, after all others; a source of
+Defined results: null and empty texts have size 0; very long texts count whole, and one that is larger than what is left of
+its source's target is taken if that brings the sum nearer; a null source is a source of its own, after all others; a source of
 size 0 has target 0; rows with equal source, id and key are taken together; an empty table gives no rows.
 """
 

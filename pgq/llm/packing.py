@@ -7,7 +7,8 @@ lengths available beside it, and that combination is taken out as often as the c
 place by their rank among those of equal length; ranks are counted within salted groups first, so a length that a third
 of all pieces have is never ranked in one task.
 
-Defined results: null text counts as empty and gives the closing id alone; repeated rows are packed each; a null doc_id
+Defined results: null text counts as empty and gives the closing id alone; a very long text is cut into full pieces and one
+that may be shorter; repeated rows are packed each; a null doc_id
 is kept; an empty table gives no rows.
 """
 
