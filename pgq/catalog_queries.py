@@ -392,3 +392,32 @@ QUERIES["generate_intents"] = lambda s, d: generate.generate(s).select("id", "re
 QUERIES["generate_deep_intents"] = lambda s, d: generate.generate(s, ALL_LABELS, ALL_PATTERNS, PLACES, DEEP).select("id", "regime", "target", F.to_json(F.struct("modifiers", "path", "filters", "aggregate", "order_by", "limit", "return_attributes")).alias("intent"))
 QUERIES["generate_dataset"] = lambda s, d: generate.dataset(s).select("id", "regime", "target", "bucket")
 QUERIES["target_json"] = lambda s, d: text.training_rows(intents(s, d).withColumn("q", F.col("target")), "q", _ATTRS).select(text.target_json(F.col("regime"), F.col("schema")).alias("target"))
+
+
+def _bare(s: SparkSession) -> DataFrame:
+    """Base rows without filters, as they come to the expansions."""
+    return _base(s).withColumn("filters", F.array().cast(generate.FILTERS))
+
+
+_AGGS = [(l, f, a) for l, attrs in PLACES.aggregatable.items() for a in attrs for f in PLACES.functions_of(a) if f != "count"]
+_ORDERS = [(l, a) for l, attrs in PLACES.orderable.items() for a in attrs]
+FREE = replace(DEEP, regimes={k: replace(v, orders=0, limits=0) for k, v in DEEP.regimes.items()})
+_BASE_ROWS = f"q as ({ORACLE['generate_projections']})"
+QUERIES["generate_aggregates"] = lambda s, d: generate.aggregated(_bare(s)).groupBy("regime", "target", "aggregate.function", "aggregate.attribute").agg(F.count("*").alias("n"))
+ORACLE["generate_aggregates"] = f"""with {_BASE_ROWS}, a(target, function, attribute) as (values {_values(_AGGS)}) select regime, target, function, attribute, count(*) as n from (
+ select regime, target, 'count' as function, null as attribute from q where regime like '%count%' union all select regime, target, function, attribute from q join a using (target) where regime like '%aggregation%'
+ union all select regime, target, null, null from q where regime like '%lookup%' or regime like '%ranking%') group by 1, 2, 3, 4"""
+QUERIES["generate_orders_and_limits"] = lambda s, d: generate.limited(generate.ordered(generate.aggregated(_bare(s)), PLACES, FREE), FREE).where("order_by is not null").groupBy("regime", "target", "order_by.attribute", "order_by.direction", "limit").agg(F.count("*").alias("n"))
+ORACLE["generate_orders_and_limits"] = f"""with {_BASE_ROWS}, o(target, attribute) as (values {_values(_ORDERS)}) select regime, target, attribute, direction, "limit", count(*) as n
+ from q join o using (target), (values ('asc'), ('desc')) d(direction), (values (5), (10), (20)) l("limit") where regime like '%ranking%' group by 1, 2, 3, 4, 5"""
+_VALUES = [(l, a, v[0], v[1] - v[0] + 1, "") if isinstance(v, tuple) else (l, a, 0, len(v), "|".join(map(str, v))) for l, attrs in PLACES.filterable.items() for a in attrs if PLACES.operators_of(l, a) for v in [PLACES.values_of(l, a)]]
+QUERIES["generate_filter_values"] = lambda s, d: generate.candidates(_base(s), PLACES, DEEP).groupBy("label", "attribute", "operator", "value").agg(F.count("*").alias("n"))
+ORACLE["generate_filter_values"] = f"""with f as ({ORACLE['generate_filter_candidates']}), v(label, attribute, least, span, choices) as (values {_values(_VALUES)}),
+ x as (select *, ('0x' || substr(md5(concat_ws(':', '42', 'value', base, label, attribute, operator)), 1, 13))::bigint % span as idx from f join v using (label, attribute))
+ select label, attribute, operator, case when choices = '' then (least + idx)::varchar else string_split(choices, '|')[idx + 1] end as value, count(*) as n from x group by 1, 2, 3, 4"""
+_WORDS = [("4.5", True, False), (" 7 ", True, False), ("1_000", True, False), ("1e3", True, False), ("nan", True, False), ("yes", False, True), ("TRUE", False, True), ("0", True, True), ("1__0", False, False), ("maybe", False, False)]
+_corpus(
+    "text_coercion", lambda d: d.withColumn("w", F.element_at(F.array(*[F.lit(w) for w, *_ in _WORDS]), (F.col("id") % len(_WORDS) + 1).cast("int"))).select("id", checks.reads_as_number(F.col("w")).alias("number"), checks.reads_as_truth(F.col("w")).alias("truth")),
+    f"select id, w.number, w.truth from c join (values {_values([(i, n, t) for i, (_, n, t) in enumerate(_WORDS)])}) w(i, number, truth) on id % {len(_WORDS)} = i",
+)
+_judged("error_values", lambda d: d.select(F.explode("errors").alias("e")).select("e.expected", "e.predicted").distinct(), " select distinct expected, predicted from e")
