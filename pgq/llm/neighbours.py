@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from . import common as C
 
 TABLES, TOP, BLOCK_ROWS, BUCKET, NEAR = 4, 20, 4096, 512, 12
-TRIAL, RECALL, LEAST, MOST = 64, 0.95, 32, 4096
+TRIAL, RECALL, LEAST, MOST = 256, 0.97, 32, 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -118,23 +118,24 @@ def _trial(width: int, sizes: list[int], who: np.ndarray, q: np.ndarray, top: in
     ranked = np.take_along_axis(cells, order, 1)
 
     def run(batches):
-        best = [(np.zeros(0), np.zeros(0, "i8"))] * len(who)
+        score, met = np.full((len(who), top), -np.inf), np.full((len(who), top), MOST)
         for b in batches:
             for lo in range(0, b.num_rows, BLOCK_ROWS):
                 part = b.slice(lo, BLOCK_ROWS)
                 x, own = _matrix(part.column(1), width), part.column(0).to_numpy()
-                home, s = buckets(_unit(x), sizes), q @ x.T
+                home, s = buckets(_unit(x), sizes), np.where(own == who[:, None], -np.inf, q @ x.T)
+                few = min(top, len(own))
+                pick = np.argpartition(-s, few - 1, axis=1)[:, :few]
+                probe = np.full((len(who), few), MOST)
                 for i in range(len(who)):
-                    mine = np.flatnonzero(own != who[i])
-                    pick = mine[np.argsort(-s[i, mine], kind="stable")[:top]]
-                    at = np.minimum(np.searchsorted(ranked[i], home[pick]), cells.shape[1] - 1)
-                    met = np.where(ranked[i][at] == home[pick], order[i][at], MOST).min(1)
-                    score, met = np.concatenate([best[i][0], s[i, pick]]), np.concatenate([best[i][1], met])
-                    keep = np.argsort(-score, kind="stable")[:top]
-                    best[i] = score[keep], met[keep]
-        for i, (score, met) in enumerate(best):
-            if len(score):
-                yield pa.RecordBatch.from_pydict({"rep": pa.array(np.full(len(score), who[i])), "vec_id": pa.array(met.astype("i8")), "score": pa.array(score)})
+                    at = np.minimum(np.searchsorted(ranked[i], home[pick[i]]), cells.shape[1] - 1)
+                    probe[i] = np.where(ranked[i][at] == home[pick[i]], order[i][at], MOST).min(1)
+                both, place = np.concatenate([score, np.take_along_axis(s, pick, 1)], 1), np.concatenate([met, probe], 1)
+                keep = np.argsort(-both, axis=1, kind="stable")[:, :top]
+                score, met = np.take_along_axis(both, keep, 1), np.take_along_axis(place, keep, 1)
+        i, j = np.nonzero(np.isfinite(score))
+        if len(i):
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(who[i]), "vec_id": pa.array(met[i, j].astype("i8")), "score": pa.array(score[i, j])})
 
     return run
 
