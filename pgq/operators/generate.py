@@ -115,20 +115,19 @@ def candidates(base: DataFrame, policy: Policy = PLACES, config: Config = DEFAUL
     return rows.select("base", F.col("f.node_label").alias("label"), "f.attribute", "f.operator", "f.value")
 
 
-MOST = 12  # candidates of a label that sets are made of: a policy's attributes times their operators stay below
+MOST = 16  # candidates that a label may have: there are 2 ^ MOST sets of them
 
 
 def _sets(found: Column, config: Config) -> Column:
     """Sets of one to the regime's number of candidates, capped by size; each number's bits pick the members of a set."""
     largest = max([1, *(r.filters for r in config.regimes.values())])
     most = F.least(knob(config, "filters"), F.when(knob(config, "multiple") | ~F.col("regime").startswith("simple"), F.lit(largest)).otherwise(F.lit(1)))
-    held = F.slice(found, F.lit(1), F.lit(MOST))
-    members = lambda m: F.filter(held, lambda c, i: F.call_function("getbit", m, i) == 1)
-    numbers = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), F.size(held)).cast("int") - 1), lambda m: F.bit_count(m) <= most)
+    members = lambda m: F.filter(found, lambda c, i: F.call_function("getbit", m, i) == 1)
+    numbers = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), F.size(found)).cast("int") - 1), lambda m: F.bit_count(m) <= most)
     of = lambda k: F.transform(F.filter(numbers, lambda m: F.bit_count(m) == k), members)
     cap = lambda k: F.when(F.col("regime").startswith("simple") & F.lit(k == 1), F.lit(1 << MOST)).otherwise(knob(config, "combinations"))
     drawn = F.concat(*[some(of(k), cap(k), config.seed, F.lit("set"), F.col("base")) for k in range(1, largest + 1)])
-    return F.when(F.size(held) > 0, drawn).otherwise(F.array().cast(f"array<{FILTERS}>"))
+    return F.when(F.size(found) > 0, drawn).otherwise(F.array().cast(f"array<{FILTERS}>"))
 
 
 def _together(sets: str, config: Config) -> Column:
@@ -167,7 +166,10 @@ def with_mandatory(rows: DataFrame, policy: Policy = PLACES, config: Config = DE
 
 
 def filtered(base: DataFrame, policy: Policy = PLACES, config: Config = DEFAULT) -> DataFrame:
-    """Base rows with every filter set they take."""
+    """Base rows with every filter set they take.  A policy that gives a label more than MOST candidates is refused."""
+    most = max((sum(min(len(policy.operators_of(l, a)), config.operators_per_attribute) for a in attrs) for l, attrs in policy.filterable.items()), default=0)
+    if most > MOST:
+        raise ValueError(f"a label has {most} filter candidates, more than {MOST}: fewer attributes or operators_per_attribute")
     rows = base.withColumn("_c", F.transform("labels", lambda l: _candidates(l, policy, config))).withColumn("_s", F.transform("_c", lambda c: _sets(c, config)))
     rows = rows.withColumn("filters", F.explode(_together("_s", config))).drop("_c", "_s")
     return with_mandatory(rows.where(distinct_attributes() & K.compatible(numeric=policy.numeric)), policy, config)

@@ -66,6 +66,13 @@ def test_caps_hold_and_products_are_drawn_without_making_them(spark):
     assert rows.where("regime like 'simple%' and size(filter(filters, f -> f.attribute <> 'type')) > 1").count() == 0
 
 
+def test_a_policy_with_too_many_candidates_is_refused(spark):
+    wide = replace(P.PLACES, filterable={"Place": [f"a{i}" for i in range(9)]}, operators={"Place": {f"a{i}": [">", "<"] for i in range(9)}})
+    base = generate.base_rows(generate.path_rows(spark, ["Place"], [], wide), wide)
+    with pytest.raises(ValueError, match="18 filter candidates"):
+        generate.filtered(base, wide)
+
+
 def test_dataset_passes_the_checks_and_balances(spark):
     d = generate.dataset(spark, config=replace(P.DEFAULT, min_per_bucket=3, max_per_bucket=5), top=4)
     got = d.withColumn("why", checks.intent_reason(P.PLACES)).collect()
