@@ -17,9 +17,11 @@ element; filters pair by label, attribute, operator and value there.  Text that
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,15 +121,27 @@ def components(gold: Any, predicted: Any) -> list[tuple[str, int]]:
     return found
 
 
-def _judge(gold: pd.Series, predicted: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b in zip(gold, predicted, strict=True):
+def _listed(rows: list[list[tuple]], names: tuple[str, ...], kinds: tuple) -> pa.Array:
+    """A list of structs for each row, from flat columns."""
+    flat = [x for r in rows for x in r]
+    ends = pa.array([0, *accumulate(len(r) for r in rows)], pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array([x[i] for x in flat], k) for i, k in enumerate(kinds)], list(names)))
+
+
+def _judge(gold: pa.Array, predicted: pa.Array) -> pa.Array:
+    errors, parts, totals, rights = [], [], [], []
+    for a, b in zip(gold.to_pylist(), predicted.to_pylist(), strict=True):
         g, p = ordered(parsed(a)), ordered(parsed(b))
-        errors, total, right = differences(g, p)
-        rows.append((
-            [dict(zip(("path", "expected", "predicted"), e, strict=True)) for e in errors], [{"path": k, "total": 1, "correct": ok} for k, ok in components(g, p)], total, right,
-        ))
-    return pd.DataFrame(rows, columns=["errors", "components", "total", "correct"])
+        found, total, right = differences(g, p)
+        errors.append(found)
+        parts.append([(k, 1, ok) for k, ok in components(g, p)])
+        totals.append(total)
+        rights.append(right)
+    text, whole = pa.string(), pa.int64()
+    return pa.StructArray.from_arrays(
+        [_listed(errors, ("path", "expected", "predicted"), (text,) * 3), _listed(parts, ("path", "total", "correct"), (text, whole, whole)), pa.array(totals, whole), pa.array(rights, whole)],
+        ["errors", "components", "total", "correct"],
+    )
 
 
 def _count(text: pd.Series) -> pd.Series:
@@ -141,8 +155,12 @@ def leaf_count(text: Column) -> Column:
 
 def judged(rows: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
     """rows with errors array<struct<path, expected, predicted>>, components array<struct<path, total, correct>>, fields
-    struct<total, correct> and exact boolean."""
-    df = rows.withColumn("_j", F.pandas_udf(_judge, _FOUND)(F.col(gold), F.col(predicted)))
+    struct<total, correct> and exact boolean.
+
+    The walk is bound by CPU: rows of a few partitions, as of one small file, are dealt out first."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    spread = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    df = spread.withColumn("_j", F.arrow_udf(_judge, _FOUND)(F.col(gold), F.col(predicted)))
     return df.select(*rows.columns, "_j.errors", "_j.components", F.struct("_j.total", "_j.correct").alias("fields"), (F.size("_j.errors") == 0).alias("exact"))
 
 
