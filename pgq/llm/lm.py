@@ -38,6 +38,7 @@ WIDE, TIERS, TOP = 16, 3, 3072
 LEAVES, BIAS = WIDE**TIERS, 512  # rows of a table that are biases
 PER_ROW, LEAST_ROWS, MOST_ROWS = 8, 1 << 12, (1 << 14, 1 << 14, 1 << 16)
 ROUNDS, BATCH, RATE, SLICES, FIELDS = 2, 8192, 0.2, 32, 4
+STEADY, DIRECT = 60, 3  # of the arithmetic alone: sums up to which no exponential overflows; rows of a run added directly
 _rng = np.random.default_rng(99)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD6E8FEB86659FD93
@@ -216,36 +217,65 @@ def features(seen: list[np.ndarray], leaf: np.ndarray, tier: int, size: int) ->
     return rows, (below % np.uint16(WIDE)).astype("i4")
 
 
+def _scores(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Each token's sums of its rows, shifted by their largest only where an exponential could leave the range of floats."""
+    z = np.take(w, rows[:, 0], axis=0)
+    for i in range(1, rows.shape[1]):
+        z += np.take(w, rows[:, i], axis=0)
+    if z.size and max(z.max(), -z.min()) > STEADY:
+        z -= z.max(1, keepdims=True)
+    return z
+
+
+def _over_classes(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(WIDE, z.dtype)  # adds up short rows several times as fast as sum()
+
+
 def log_classes(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural log of P(class | history) at one tier."""
-    z = w[rows[:, 0]]
-    for i in range(1, rows.shape[1]):
-        z += w[rows[:, i]]
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    z = _scores(w, rows)
+    return z - np.log(_over_classes(np.exp(z)))[:, None]
+
+
+def _run_sums(g: np.ndarray, who: np.ndarray, head: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Sums of g[who] over its runs, which begin at head and hold `often` rows each.  Most are short: their first `DIRECT` rows
+    are added for all runs at once.  reduceat, which costs a call a run and column, gets the rest, two columns as a complex one."""
+    out = np.take(g, who[head], axis=0)
+    left, runs = np.ones(len(who), bool), np.arange(len(head))
+    left[head] = False
+    for i in range(1, DIRECT):
+        runs = runs[often[runs] > i]
+        at = head[runs] + i
+        left[at] = False
+        out[runs] += np.take(g, who[at], axis=0)
+    runs = runs[often[runs] > DIRECT]
+    if len(runs):
+        pairs = np.take(g, who[left], axis=0).view(np.result_type(g, "c8"))
+        out[runs] += np.add.reduceat(pairs, np.append(0, np.cumsum(often[runs] - DIRECT)[:-1]), axis=0).view(g.dtype)
+    return out
 
 
 def update(w: np.ndarray, seen: np.ndarray, met: np.ndarray, rows: np.ndarray, k: np.ndarray) -> None:
     """One gradient step for a batch, scaled by row as Adagrad does; met counts how often a row was read."""
-    g = w[rows[:, 0]]
-    for i in range(1, FIELDS):
-        g += w[rows[:, i]]
-    g -= g.max(1, keepdims=True)
+    g = _scores(w, rows)
     np.exp(g, out=g)
-    g /= -g.sum(1, keepdims=True)
+    g /= -_over_classes(g)[:, None]
     g[np.arange(len(k)), k] += 1
-    order = np.argsort(rows.ravel().astype("u2"), kind="stable")  # two bytes are sorted by radix
-    flat = rows.ravel()[order]
+    key = rows.ravel().astype("u2")
+    order = np.argsort(key, kind="stable")  # two bytes are sorted by radix
+    flat = key[order]
     new = np.empty(len(flat), bool)
     new[0] = True
     np.not_equal(flat[1:], flat[:-1], out=new[1:])
     head = np.flatnonzero(new)
-    use = flat[head]
-    grad = np.add.reduceat(g[order // FIELDS], head, axis=0)
+    use, often = flat[head].astype("i8"), np.diff(head, append=len(flat))
+    grad = _run_sums(g, order // FIELDS, head, often)
     scale = seen[use] + np.einsum("ij,ij->i", grad, grad) / WIDE
     seen[use] = scale
-    met[use] += np.diff(np.append(head, len(flat)))
-    w[use] += grad * (RATE / np.sqrt(scale))[:, None]
+    met[use] += often
+    grad *= (RATE / np.sqrt(scale))[:, None]
+    grad += np.take(w, use, axis=0)
+    w[use] = grad
 
 
 def _gradients(weights: list[np.ndarray], tree: Tree):
@@ -309,12 +339,9 @@ def log_history(weights: list[np.ndarray], past: list[np.ndarray], leaf: np.ndar
         s = slice(lo, lo + BATCH)
         for tier, w in enumerate(weights):
             rows, k = features([x[s] for x in past], leaf[s], tier, len(w))
-            z = w[rows[:, 0]]
-            for i in range(1, FIELDS):
-                z += w[rows[:, i]]
-            z -= z.max(1, keepdims=True)
+            z = _scores(w, rows)
             taken = z[np.arange(len(k)), k]
-            out[s] += taken - np.log(np.exp(z, out=z).sum(1))
+            out[s] += taken - np.log(_over_classes(np.exp(z, out=z)))
     return out
 
 
@@ -330,7 +357,9 @@ def _score(weights: list[np.ndarray], tree: Tree, n: int):
             count[cut[r["bucket"]] : cut[r["bucket"]] + len(got)] = got
         c = count[back].astype("f8")
         base = np.log10((c + 0.5) / (tree.total + 0.5 * (tree.distinct + 1)))
-        leaf = tree.leaves(h, tail)
+        ending = np.empty(len(value), "u2")
+        ending[back] = tail
+        leaf = tree.leaves(value, ending)[back]
         own = (log_history(weights, contexts(h, doc), leaf) + tree.log_inside(leaf, c)) / np.log(10)
         docs = len(b.ids)
         out = {
