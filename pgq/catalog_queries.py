@@ -17,7 +17,7 @@ from pgq.operators.planner import plan
 from pgq.plans.catalog import DRIVER, load
 from pgq.plans.intent import REGIMES
 from pgq.plans.policies import DEFAULT, PLACES
-from pgq.session import prepare
+from pgq.session import dealt, prepare
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -76,9 +76,11 @@ OPS = ["=", ">", "<", ">=", "<="]
 FNS = ["avg", "sum", "min", "max"]
 
 
-def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order as an intent: regime by o_orderkey % 8, target by customer, filters by status and price."""
+def intents(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """Every order as an intent: regime by o_orderkey % 8, target by customer, filters by status and price.  deal: for steps
+    that take long for a row."""
     o = prepare(spark).read.parquet(f"{sf_dir}/orders.parquet")
+    o = dealt(o.select("o_orderkey", "o_custkey"), "o_orderkey") if deal else o
     i, c = F.col("o_orderkey"), F.col("o_custkey")
     at = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
     flt = lambda k, v: F.struct(F.lit(None).cast("string").alias("node_label"), at(ATTRS, c).alias("attribute"), at(OPS, k).alias("operator"), v.cast("string").alias("value"))
@@ -116,8 +118,8 @@ FEATURES = """f as (select id, unnest(list_distinct(['label:' || target] || (cas
 _ATTRS = {k: v.properties for k, v in DRIVER.labels.items()}
 
 
-def _corpus(name: str, fn, sql: str):
-    QUERIES[name] = lambda spark, sf_dir: fn(intents(spark, sf_dir))
+def _corpus(name: str, fn, sql: str, deal: bool = False):
+    QUERIES[name] = lambda spark, sf_dir: fn(intents(spark, sf_dir, deal))
     ORACLE[name] = f"with {CORPUS}{', ' if sql.startswith('f as') else ' '}{sql}"
 
 
@@ -303,16 +305,21 @@ def _raw(d: DataFrame) -> DataFrame:
     return d.select("id", F.when(i % 11 == 0, "{not json").otherwise(F.concat(F.lit('{"regime":"'), F.col("regime"), F.lit('","schema":'), body, F.lit("}"))).alias("raw"))
 
 
+def _each_filter(d: DataFrame) -> DataFrame:
+    """Outer, as an inner explode asks for the size of its list before rows are dealt out: all the work twice, once in few tasks."""
+    return d.select("id", F.posexplode_outer("filters").alias("at", "f")).where("at is not null")
+
+
 _corpus(
     "normalize_ir", lambda d: N.normalize(_raw(d)).select("id", "regime", "target", K.path_text().alias("path"), F.size("filters").alias("n_filters"), "limit"),
     """select id, case when ok then regime end as regime, case when ok then target end as target, case when ok and hop then 'Region-CONTAINS->Nation' else '[]' end as path, (case when ok then nf else 0 end)::int as n_filters,
-  case when ok and id % 3 < 2 then lim end as "limit" from (select *, id % 11 <> 0 as ok from c)""",
+  case when ok and id % 3 < 2 then lim end as "limit" from (select *, id % 11 <> 0 as ok from c)""", deal=True,
 )
 _corpus(
-    "value_typing", lambda d: N.normalize(_raw(d)).select("id", F.posexplode("filters").alias("at", "f")).select("id", "at", "f.attribute", "f.operator", "f.value_str", "f.value_int", "f.value_float", "f.value_bool"),
+    "value_typing", lambda d: _each_filter(N.normalize(_raw(d))).select("id", "at", "f.attribute", "f.operator", "f.value_str", "f.value_int", "f.value_float", "f.value_bool"),
     """select id, pos::int as at, attr as attribute, case pos when 0 then op1 else op2 end as operator, case when id % 5 = 3 then v::varchar end as value_str, case when id % 5 in (0, 4) then v end as value_int,
   case when id % 5 = 1 then v + 0.5::double end as value_float, case when id % 5 = 2 then true end as value_bool
-  from (select *, case pos when 0 then v1 else v2 end as v from c, (values (0), (1)) p(pos) where pos < nf and id % 11 <> 0)""",
+  from (select *, case pos when 0 then v1 else v2 end as v from c, (values (0), (1)) p(pos) where pos < nf and id % 11 <> 0)""", deal=True,
 )
 
 # -- a catalog read from schema and mapping files, with edge tables -----------------------------------------------------------
