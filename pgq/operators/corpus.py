@@ -58,9 +58,13 @@ def combinations(candidates: DataFrame, group: str, key: str, most: int, cap: in
 
 
 def expand_aggregates(intents: DataFrame, policy: DataFrame) -> DataFrame:
-    """Each intent with every (function, attribute) its target allows, with and without its filters."""
-    both = intents.join(policy.withColumnRenamed("label", "target"), "target").withColumn("aggregate", F.struct("function", "attribute")).drop("function", "attribute")
-    return both.unionByName(both.where("size(filters) > 0").withColumn("filters", F.slice("filters", 1, 0)))
+    """Each intent with every (function, attribute) its target allows, with and without its filters.
+
+    A policy has a few rows for each label of a catalog: it goes to the intents, as a join dealt by target would give each
+    label's intents to one task."""
+    both = intents.join(F.broadcast(policy.withColumnRenamed("label", "target")), "target").withColumn("aggregate", F.struct("function", "attribute")).drop("function", "attribute")
+    bare = F.slice("filters", 1, 0)
+    return both.withColumn("filters", F.explode(F.when(F.size("filters") > 0, F.array("filters", bare)).otherwise(F.array("filters")))).select(both.columns)
 
 
 def expand_ranking(intents: DataFrame, policy: DataFrame, limits: Sequence[int] = (5, 10, 20)) -> DataFrame:

@@ -20,3 +20,14 @@ def test_texts_are_read_after_rows_are_dealt_out_and_types_looked_at_once(spark,
     above, dealt, below = plan.partition("RepartitionByExpression [o_orderkey")
     assert dealt and "parseJson" in above and "parseJson" not in below, plan
     assert plan.count("parseJson") == 1 and plan.count("schemaOfVariant") <= 60, plan.count("schemaOfVariant")
+
+
+@pytest.mark.parametrize("name", ["agg_expansion"])
+def test_policy_goes_to_large_intents(spark, name):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the intents were too large for it
+    try:
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1 and "BuildRight" in plan, plan
