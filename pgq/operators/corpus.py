@@ -68,8 +68,8 @@ def expand_aggregates(intents: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def expand_ranking(intents: DataFrame, policy: DataFrame, limits: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    """Each intent with every order (attribute x direction) its target allows and every limit."""
-    both = intents.join(policy.withColumnRenamed("label", "target"), "target")
+    """Each intent with every order (attribute x direction) its target allows and every limit; the policy goes to the intents."""
+    both = intents.join(F.broadcast(policy.withColumnRenamed("label", "target")), "target")
     both = both.withColumn("direction", F.explode(F.array(F.lit("asc"), F.lit("desc")))).withColumn("limit", F.explode(F.array(*map(F.lit, limits))))
     return both.withColumn("order_by", F.struct(F.col("target").alias("node_label"), "attribute", "direction")).drop("attribute", "direction")
 

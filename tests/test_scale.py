@@ -22,7 +22,7 @@ def test_texts_are_read_after_rows_are_dealt_out_and_types_looked_at_once(spark,
     assert plan.count("parseJson") == 1 and plan.count("schemaOfVariant") <= 60, plan.count("schemaOfVariant")
 
 
-@pytest.mark.parametrize("name", ["agg_expansion"])
+@pytest.mark.parametrize("name", ["agg_expansion", "order_limit_expansion"])
 def test_policy_goes_to_large_intents(spark, name):
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the intents were too large for it
