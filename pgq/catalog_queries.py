@@ -213,7 +213,7 @@ _corpus("order_limit_expansion", _ranked, "select target, attribute, direction,
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's intent as JSON, beside a prediction with other targets, paths, labels to order by and limits, a number
     of another type, filters and keys that are missing or too many, and parts that are null."""
-    d = intents(spark, sf_dir)
+    d = intents(spark, sf_dir, deal=True)
     i, n, nf = F.col("id"), lambda k: F.col("id") % k == 0, F.size("filters")
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     obj = lambda **kv: F.concat(F.lit("{"), *[x for j, (k, v) in enumerate(kv.items()) for x in (F.lit(("," if j else "") + f'"{k}":'), v)], F.lit("}"))
@@ -235,7 +235,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     other = F.when(n(19), "}").otherwise(F.concat(F.lit(',"limit":'), F.when(n(7), F.lit('"7"')).when(n(3), F.lit("7")).otherwise(limit), F.lit("}")))
     pred = F.concat(F.substring(pred, F.lit(1), F.length(pred) - 1), other)
-    return evaluation.judged(d.select("id", "regime", F.when(n(10), "other").otherwise(F.col("regime")).alias("predicted_regime"), gold.alias("gold"), pred.alias("predicted")))
+    return evaluation.judged(d.select("id", "regime", F.when(n(10), "other").otherwise(F.col("regime")).alias("predicted_regime"), gold.alias("gold"), pred.alias("predicted")), deal=False)
 
 
 _EXTRA = """case when id % 11 = 0 then '{"attribute":"extra","node_label":"' || target || '","operator":"=","value":"x"}' end"""
@@ -427,4 +427,4 @@ _corpus(
     "text_coercion", lambda d: d.withColumn("w", F.element_at(F.array(*[F.lit(w) for w, *_ in _WORDS]), (F.col("id") % len(_WORDS) + 1).cast("int"))).select("id", checks.reads_as_number(F.col("w")).alias("number"), checks.reads_as_truth(F.col("w")).alias("truth")),
     f"select id, w.number, w.truth from c join (values {_values([(i, n, t) for i, (_, n, t) in enumerate(_WORDS)])}) w(i, number, truth) on id % {len(_WORDS)} = i",
 )
-_judged("error_values", lambda d: d.select(F.explode("errors").alias("e")).select("e.expected", "e.predicted").distinct(), " select distinct expected, predicted from e")
+_judged("error_values", evaluation.error_values, " select distinct expected, predicted from e")

@@ -12,11 +12,16 @@ element as far as both go.
 *Fields* count scalars: those that agree, of all; a branch that one side lacks counts its leaves, a clash of types those of
 the expected side, surplus list elements nothing.  *Components* count by path: a list as a whole and, if sizes agree, by
 element; filters pair by label, attribute, operator and value there.  Text that isn't JSON counts as null.
+
+Errors, components and fields are each a function of their own, so a query runs the one it asks for.  Under two objects each
+key is a walk of its own; what it found is kept in the worker, within bounds, for a branch that comes again.
 """
 
 from __future__ import annotations
 
 import json
+import marshal
+from collections.abc import Callable
 from itertools import accumulate
 from typing import Any
 
@@ -26,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "<missing>"
-_ABSENT = object()
-_FOUND = "struct<errors:array<struct<path:string,expected:string,predicted:string>>,components:array<struct<path:string,total:bigint,correct:bigint>>,total:bigint,correct:bigint>"
+_ABSENT = ...  # marshal takes it, JSON never gives it
+KEPT, LONGEST = 8 << 20, 2048  # bytes of the branches that a worker remembers, and of one of them
+_IN_ORDER = json.JSONEncoder(sort_keys=True)
 
 
 def parsed(text: str | None) -> Any:
@@ -45,7 +51,7 @@ def ordered(tree: Any) -> Any:
         return tree
     by_text = bool(tree) and isinstance(tree[0], dict)
     try:
-        return sorted(map(ordered, tree), key=lambda x: json.dumps(x, sort_keys=True)) if by_text else sorted(tree)
+        return sorted(map(ordered, tree), key=_IN_ORDER.encode) if by_text else sorted(tree)
     except TypeError:
         return tree
 
@@ -75,9 +81,9 @@ def _by_index(path: str, g: list, p: list) -> list[tuple]:
     return [(f"{path}[{i}]", a, b) for i, (a, b) in enumerate(zip(g, p, strict=False))]
 
 
-def differences(gold: Any, predicted: Any) -> tuple[list[tuple[str, str, str]], int, int]:
+def differences(gold: Any, predicted: Any, at: str = "") -> tuple[list[tuple[str, str, str]], int, int]:
     """(path, expected, predicted) of every error, and how many fields there are and agree."""
-    errors, total, right, todo = [], 0, 0, [("", gold, predicted)]
+    errors, total, right, todo = [], 0, 0, [(at, gold, predicted)]
     while todo:
         path, g, p = todo.pop()
         lone = g is _ABSENT or p is _ABSENT
@@ -103,9 +109,9 @@ def _paired(x: list) -> list:
     return sorted(x, key=lambda f: [str(f.get(k)) for k in ("node_label", "attribute", "operator", "value")] if isinstance(f, dict) else [str(f)])
 
 
-def components(gold: Any, predicted: Any) -> list[tuple[str, int]]:
+def components(gold: Any, predicted: Any, at: str = "") -> list[tuple[str, int]]:
     """(path, 1 if it agrees) of every component."""
-    found, todo = [], [("", gold, predicted)]
+    found, todo = [], [(at, gold, predicted)]
     while todo:
         path, g, p = todo.pop()
         if g is _ABSENT or p is _ABSENT or type(g) is not type(p):
@@ -121,27 +127,61 @@ def components(gold: Any, predicted: Any) -> list[tuple[str, int]]:
     return found
 
 
-def _listed(rows: list[list[tuple]], names: tuple[str, ...], kinds: tuple) -> pa.Array:
-    """A list of structs for each row, from flat columns."""
-    flat = [x for r in rows for x in r]
-    ends = pa.array([0, *accumulate(len(r) for r in rows)], pa.int32())
-    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array([x[i] for x in flat], k) for i, k in enumerate(kinds)], list(names)))
+class Remembered:
+    """A step on a pair of branches, whose lists it is given in order; pairs that come again are looked up."""
+
+    def __init__(self, step: Callable[[Any, Any, str], Any]):
+        self.step, self.known, self.size = step, {}, 0
+
+    def __call__(self, at: str, g: Any, p: Any) -> Any:
+        try:
+            key = marshal.dumps((at, g, p), 2)  # tells 1, 1.0 and true apart
+        except ValueError:  # nested too deeply for it
+            return self.step(ordered(g), ordered(p), at)
+        found = self.known.get(key)
+        if found is None:
+            found = self.step(ordered(g), ordered(p), at)
+            if len(key) <= LONGEST:
+                if self.size > KEPT:
+                    self.known.clear()
+                    self.size = 0
+                self.known[key] = found
+                self.size += len(key)
+        return found
+
+    def each(self, gold: pa.Array, predicted: pa.Array):
+        """What the step finds in the branches of each pair of texts, the last key first, as a walk from the root takes them."""
+        for a, b in zip(gold, predicted, strict=True):
+            g, p = parsed(a.as_py()), parsed(b.as_py())
+            both = isinstance(g, dict) and isinstance(p, dict)
+            yield [self(*x) for x in reversed(_by_key("", g, p))] if both else [self("", g, p)]
+
+
+_of_errors = Remembered(lambda g, p, at: differences(g, p, at)[0])
+_of_components = Remembered(components)
+_of_fields = Remembered(lambda g, p, at: (lambda e, total, right: (total, right, len(e)))(*differences(g, p, at)))
+
+
+def _listed(rows: list[list], columns: Callable[[list], dict[str, pa.Array]]) -> pa.Array:
+    """A list of structs for each row, from what its branches gave."""
+    ends = pa.array([0, *accumulate(sum(map(len, r)) for r in rows)], pa.int32())
+    made = columns([x for r in rows for found in r for x in found])
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(list(made.values()), list(made)))
 
 
-def _judge(gold: pa.Array, predicted: pa.Array) -> pa.Array:
-    errors, parts, totals, rights = [], [], [], []
-    for a, b in zip(gold.to_pylist(), predicted.to_pylist(), strict=True):
-        g, p = ordered(parsed(a)), ordered(parsed(b))
-        found, total, right = differences(g, p)
-        errors.append(found)
-        parts.append([(k, 1, ok) for k, ok in components(g, p)])
-        totals.append(total)
-        rights.append(right)
-    text, whole = pa.string(), pa.int64()
-    return pa.StructArray.from_arrays(
-        [_listed(errors, ("path", "expected", "predicted"), (text,) * 3), _listed(parts, ("path", "total", "correct"), (text, whole, whole)), pa.array(totals, whole), pa.array(rights, whole)],
-        ["errors", "components", "total", "correct"],
-    )
+def _errors(gold: pa.Array, predicted: pa.Array) -> pa.Array:
+    at = lambda flat, i: pa.array([x[i] for x in flat], pa.string())
+    return _listed(list(_of_errors.each(gold, predicted)), lambda flat: {k: at(flat, i) for i, k in enumerate(("path", "expected", "predicted"))})
+
+
+def _components(gold: pa.Array, predicted: pa.Array) -> pa.Array:
+    made = lambda flat: {"path": pa.array([x[0] for x in flat], pa.string()), "total": pa.array([1] * len(flat), pa.int64()), "correct": pa.array([x[1] for x in flat], pa.int64())}
+    return _listed(list(_of_components.each(gold, predicted)), made)
+
+
+def _fields(gold: pa.Array, predicted: pa.Array) -> pa.Array:
+    rows = [tuple(map(sum, zip(*r, strict=True))) or (0, 0, 0) for r in _of_fields.each(gold, predicted)]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["total", "correct", "errors"])
 
 
 def _count(text: pd.Series) -> pd.Series:
@@ -153,15 +193,19 @@ def leaf_count(text: Column) -> Column:
     return F.pandas_udf(_count, "bigint")(text)  # made here: a worker that imports this module has no session
 
 
-def judged(rows: DataFrame, gold: str = "gold", predicted: str = "predicted") -> DataFrame:
+def judged(rows: DataFrame, gold: str = "gold", predicted: str = "predicted", deal: bool = True) -> DataFrame:
     """rows with errors array<struct<path, expected, predicted>>, components array<struct<path, total, correct>>, fields
     struct<total, correct> and exact boolean.
 
-    The walk is bound by CPU: rows of a few partitions, as of one small file, are dealt out first."""
+    The walk is bound by CPU: rows of a few partitions, as of one small file, are dealt out first, unless the caller has done so
+    (deal=False), before they had their texts."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    spread = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-    df = spread.withColumn("_j", F.arrow_udf(_judge, _FOUND)(F.col(gold), F.col(predicted)))
-    return df.select(*rows.columns, "_j.errors", "_j.components", F.struct("_j.total", "_j.correct").alias("fields"), (F.size("_j.errors") == 0).alias("exact"))
+    spread = rows.repartition(cores) if deal and rows.rdd.getNumPartitions() < cores else rows
+    of = lambda f, kind: F.arrow_udf(f, kind)(F.col(gold), F.col(predicted))
+    errors = of(_errors, "array<struct<path:string,expected:string,predicted:string>>")
+    parts = of(_components, "array<struct<path:string,total:bigint,correct:bigint>>")
+    df = spread.select(*rows.columns, errors.alias("errors"), parts.alias("components"), of(_fields, "struct<total:bigint,correct:bigint,errors:bigint>").alias("_f"))
+    return df.select(*rows.columns, "errors", "components", F.struct("_f.total", "_f.correct").alias("fields"), (F.col("_f.errors") == 0).alias("exact"))
 
 
 def beside(gold: DataFrame, predicted: DataFrame, key: str = "id") -> DataFrame:
@@ -174,24 +218,35 @@ def percent(right: Column, total: Column) -> Column:
     return F.coalesce(F.round(F.lit(100.0) * right / F.nullif(total, F.lit(0)), 2), F.lit(0.0))
 
 
+def _each(done: DataFrame, what: Column | str, *also: str) -> DataFrame:
+    """A row `e` for each element of a list.  Outer, as an inner explode asks for the size of the list before rows are dealt out:
+    the whole walk twice, once in few tasks."""
+    return done.select(*also, F.explode_outer(what).alias("e")).where("e is not null")
+
+
 def errors(done: DataFrame, key: str = "id") -> DataFrame:
-    return done.select(key, F.explode("errors").alias("e")).select(key, "e.*")
+    return _each(done, "errors", key).select(key, "e.*")
+
+
+def error_values(done: DataFrame) -> DataFrame:
+    """Every distinct pair of what was expected and what predicted."""
+    return _each(done, "errors").select("e.expected", "e.predicted").distinct()
 
 
 def error_ranking(done: DataFrame) -> DataFrame:
     """path, expected, predicted, n: every distinct error, most frequent first."""
-    found = done.select(F.explode("errors").alias("e")).select("e.*")
+    found = _each(done, "errors").select("e.*")
     return found.groupBy("path", "expected", "predicted").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path", "expected", "predicted")
 
 
 def error_paths(done: DataFrame, k: int = 20) -> DataFrame:
     """The k paths with most errors."""
-    found = done.select(F.explode("errors.path").alias("path"))
+    found = _each(done, "errors").select("e.path")
     return found.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(k)
 
 
 def component_accuracy(done: DataFrame) -> DataFrame:
-    c = done.select(F.explode("components").alias("c")).select("c.*")
+    c = _each(done, "components").select("e.*")
     c = c.groupBy(F.col("path").alias("component")).agg(F.sum("total").alias("total"), F.sum("correct").alias("correct"))
     return c.withColumn("accuracy", percent(F.col("correct"), F.col("total")))
 
