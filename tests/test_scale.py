@@ -35,7 +35,7 @@ def test_policy_goes_to_large_intents(spark, name):
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1 and "BuildRight" in plan, plan
 
 
-JUDGED = {"component_accuracy": "_components", "error_ranking": "_errors", "error_values": "_errors", "field_accuracy": "_fields", "exact_match": "_fields", "schema_diff": "_errors"}
+JUDGED = {"component_accuracy": "_components", "error_ranking": "_errors", "error_values": "_errors", "field_accuracy": "_fields", "exact_match": "_fields", "schema_diff": "_errors", "error_paths": "_errors"}
 
 
 @pytest.mark.parametrize("name", sorted(JUDGED))
